@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import extended, table
 
 LEAF = 128
 CACHE = 200_000
@@ -170,7 +170,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
             ids = [c.encode(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())], [*keep, "ids", "n_tokens"])
 
-    return docs.select(*keep).mapInArrow(run, docs.select(*keep).schema.add("ids", "array<int>").add("n_tokens", "long"))
+    return docs.select(*keep).mapInArrow(run, extended(docs.select(*keep).schema, "ids array<int>, n_tokens long"))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -185,7 +185,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) ->
             texts = [c.decode(ids.as_py() or []) for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, "decoded"])
 
-    return encoded.select(*keep).mapInArrow(run, encoded.select(*keep).schema.add("decoded", "string"))
+    return encoded.select(*keep).mapInArrow(run, extended(encoded.select(*keep).schema, "decoded string"))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -203,7 +203,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = extended(docs.select(id_col).schema, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_dedup, mixing, repetition
+from . import bpe, embedding_dedup, jaccard, language_id, line_dedup, mixing, repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality_rules": repetition.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
@@ -17,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": embedding_dedup.SQL,
+    "op3_ngram_jaccard": jaccard.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op6_mixing": mixing.SQL,
 }

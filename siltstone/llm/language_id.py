@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, text_blocks
+from .common import extended, table, text_blocks
 
 TOP = 400
 MAX_N = 3
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(profiles)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = extended(docs.select(*keep).schema, "lang_pred string, score double")
     at = keep.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BYTE, range_hash, table, text_blocks, word_spans
+from .common import BYTE, extended, range_hash, table, text_blocks, word_spans
 
 MIN_WORDS = 10
 MAX_COVERED = 0.3
@@ -138,10 +138,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             kept = ~failed & (x["n_covered_words"] <= max_covered * x["n_words"]) & (x["longest_repeat"] <= max_longest)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[k]) for k in _INTS], pa.array(failed), pa.array(kept)], [id_col, *_INTS, "base_failed", "kept"])
 
-    schema = docs.select(id_col).schema
-    for k in _INTS:
-        schema = schema.add(k, "long")
-    schema = schema.add("base_failed", "boolean").add("kept", "boolean")
+    schema = extended(docs.select(id_col).schema, ", ".join(f"{k} long" for k in _INTS) + ", base_failed boolean, kept boolean")
     return docs.select(id_col, text_col).mapInArrow(judge, schema)
 
 
