@@ -25,13 +25,16 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import extended, table
 
 LEAF = 128
-CACHE = 200_000
+CACHE = 100_000
+#: Ids that a task holds before it hands them on.
+FLUSH = 500_000
 END = "</w>"
 
 #: Fixed value: the splitting pattern of the word-BPE vocabulary.
@@ -141,8 +144,11 @@ class Codec:
             at = m.end()
         return out + self._segment(text[at:])
 
+    def encode_array(self, text: str | None) -> np.ndarray:
+        return np.fromstring(" ".join([p[1] for p in self.parts(text)]), np.int32, sep=" ")
+
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[1].split()]
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks, as the library does where a file names no decoder; unknown ids are left out."""
@@ -167,8 +173,16 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids = [c.encode(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())], [*keep, "ids", "n_tokens"])
+            start, ids, held = 0, [], 0
+            for i, text in enumerate(batch.column(at)):
+                ids.append(c.encode_array(text.as_py()))
+                held += len(ids[-1])
+                if held >= FLUSH or i + 1 == len(batch):
+                    sizes = [len(x) for x in ids]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids)))
+                    rows = batch.slice(start, len(ids))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(sizes, pa.int64())], [*keep, "ids", "n_tokens"])
+                    start, ids, held = i + 1, [], 0
 
     return docs.select(*keep).mapInArrow(run, extended(docs.select(*keep).schema, "ids array<int>, n_tokens long"))
 
