@@ -378,3 +378,98 @@ def error_digest(spark, sf_dir):
     from .operators.verify import error_digest as digest
 
     return digest(document_files(spark, sf_dir).where("orig_size > 3000").select(F.col("rel_path").alias("error")))
+
+
+_MODES = [(x, z, level, chunk, d) for x in (False, True) for z in (False, True) for level in (0, 9, 10, 23) for chunk in (0, 1024, 65536, 1 << 27) for d in (False, True)]
+
+
+@query("""SELECT xz, zip, level::BIGINT AS level, chunk::BIGINT AS chunk, dictionary, CASE
+  WHEN xz AND zip THEN 'XZ_NO_ZIP' WHEN xz AND l NOT BETWEEN 1 AND 9 THEN 'INVALID_LEVEL_XZ' WHEN xz AND chunk > 0 THEN 'XZ_NO_CHUNKING' WHEN xz AND dictionary THEN 'XZ_NO_DICTIONARY'
+  WHEN zip AND l NOT BETWEEN 1 AND 9 THEN 'INVALID_LEVEL_ZIP' WHEN zip AND chunk > 0 THEN 'ZIP_NO_CHUNKING' WHEN zip AND dictionary THEN 'ZIP_NO_DICTIONARY'
+  WHEN NOT xz AND NOT zip AND l NOT BETWEEN 1 AND 22 THEN 'INVALID_LEVEL_ZSTD' WHEN dictionary AND chunk > 0 THEN 'DICTIONARY_NO_CHUNKING'
+  WHEN chunk > 0 AND chunk < 4096 THEN 'CHUNK_TOO_SMALL' WHEN chunk > 67108864 THEN 'CHUNK_TOO_LARGE' END AS error
+FROM (SELECT *, CASE WHEN level = 0 THEN 5 ELSE level END AS l FROM (VALUES (false), (true)) a(xz), (VALUES (false), (true)) b(zip), (VALUES (0), (9), (10), (23)) c(level), (VALUES (0), (1024), (65536), (134217728)) d(chunk), (VALUES (false), (true)) e(dictionary))""")
+def option_validation_matrix(spark, sf_dir):
+    from .plans.options import mode_error_column
+
+    rows = literals(spark, "xz boolean, zip boolean, level long, chunk long, dictionary boolean", _MODES)
+    return rows.withColumn("error", mode_error_column(*[F.col(c) for c in ("xz", "zip", "level", "chunk", "dictionary")]))
+
+
+# ------------------------------------------------------- codecs and archives
+
+
+def _codec_roundtrip(codec: str):
+    def run(spark, sf_dir):
+        from .functions.codecs import compress_column, decompress_column
+
+        packed = compress_column(document_files(spark, sf_dir).select("rel_path", "content"), "content", "packed", codec).select("rel_path", "packed")
+        return decompress_column(packed, "packed", "content", codec).select("rel_path", F.sha2("content", 256).alias("digest"), "error")
+
+    return run
+
+
+for _codec in ("zlib", "lzma", "zstd"):
+    query(with_files("SELECT rel_path, sha256(content) AS digest, NULL::VARCHAR AS error FROM files"), f"codec_roundtrip_{_codec}")(_codec_roundtrip(_codec))
+
+
+@query(None)
+def dict_vs_plain_sizes(spark, sf_dir):
+    """Packed bytes with a dictionary of planned size and without one, by language."""
+    from .functions.codecs import compress_column
+    from .plans.engine import Engine
+
+    files = document_files(spark, sf_dir)
+    dictionary = Engine(spark).dictionary(files)
+    both = compress_column(compress_column(files.select("folder", "content"), "content", "plain", "zstd"), "content", "packed", "zstd", 5, dictionary)
+    return both.groupBy(F.substring_index("folder", "/", 1).alias("lang")).agg(F.count("*").alias("files"), F.sum(F.octet_length("plain")).alias("plain_bytes"), F.sum(F.octet_length("packed")).alias("dict_bytes"))
+
+
+def _archived(files: DataFrame, archive: str, parts: int = 8) -> DataFrame:
+    """(path, content) of archives that hold ``files``, a part for each of so many groups of folders."""
+    import pyarrow as pa
+
+    from .sources.archives import WRITERS
+
+    def write(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        pairs = sorted(zip(rows["rel_path"].to_pylist(), rows["content"].to_pylist(), strict=True))
+        return pa.table({"path": [f"part_{key[0].as_py():02d}"], "content": pa.array([WRITERS[archive](pairs, {"average": "4096"})], pa.binary())})
+
+    keyed = files.select((F.pmod(F.xxhash64("rel_path"), F.lit(parts)) + 1).alias("part"), "rel_path", "content")
+    return keyed.groupBy("part").applyInArrow(write, "path string, content binary")
+
+
+def _archive_roundtrip(archive: str):
+    def run(spark, sf_dir):
+        from .sources.archives import read_entries
+
+        return read_entries(_archived(document_files(spark, sf_dir), archive)).select(F.col("path").alias("rel_path"), "original_size", F.sha2("content", 256).alias("digest"), "data_valid", "error")
+
+    return run
+
+
+for _archive, _name in (("1", "v1"), ("2", "v2"), ("3", "v3"), ("zip", "zip"), ("xz", "xz")):
+    query(with_files("SELECT rel_path, orig_size AS original_size, sha256(content) AS digest, true AS data_valid, NULL::VARCHAR AS error FROM files"), f"archive_roundtrip_{_name}")(_archive_roundtrip(_archive))
+
+
+@query(with_files("SELECT count(*) AS files, sum(orig_size)::BIGINT AS orig_bytes, count(*) FILTER (orig_size = 0) AS empty_files, 0::BIGINT AS duplicate_paths, count(*) AS verified, 0::BIGINT AS corrupt, true AS is_valid FROM files"))
+def verify_archives(spark, sf_dir):
+    from .operators.verify import verify_entries
+    from .sources.archives import read_entries
+
+    out = verify_entries(read_entries(_archived(document_files(spark, sf_dir), "2")))
+    return out.select("files", "orig_bytes", "empty_files", "duplicate_paths", "verified", "corrupt", "is_valid")
+
+
+@query(with_chunks("SELECT hash, any_value(chunk_len)::BIGINT AS chunk_len FROM chunks GROUP BY hash"))
+def streaming_dedup(spark, sf_dir):
+    import tempfile
+    import uuid
+
+    from .sources.files import as_files, document_path
+    from .streaming.dedup import dedup_folder
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-stream-")
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    to_files = lambda d: as_files(d, document_path(), F.encode("text", "UTF-8"))
+    return dedup_folder(spark, f"{sf_dir}/documents.parquet*", table(spark, sf_dir, "documents").schema, to_files, f"{base}/out", f"{base}/state", ChunkOptions(AVG))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os.path
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +62,8 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_directory(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """All regular files below ``root``, paths relative to it.
 
-    Spark's reader leaves out files of no bytes, so these are added from its own listing, which
-    holds names and sizes only.
+    Spark's reader leaves out files of no bytes and names that begin with a dot or underscore, so these
+    are added from its own listing, which holds names and sizes only.
     """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -72,15 +73,29 @@ def scan_directory(spark: SparkSession, root: str, prefix: str = "") -> DataFram
     normal = F.regexp_replace(F.col("path"), "^file:/+", "file:/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("path", normal)
     found = as_files(read, F.concat(F.lit(prefix), relative), F.col("content"))
-    empty, walk = [], None if single else fs.listFiles(fs_path, True)
+    left_out, walk = [], None if single else fs.listFiles(fs_path, True)
     while walk is not None and walk.hasNext():
         status = walk.next()
-        if status.getLen() == 0:
-            empty.append((prefix + status.getPath().toString()[len(base) + 1 :],))
-    if not empty:
+        uri = status.getPath().toString()
+        name = uri[len(base) + 1 :]
+        if status.getLen() == 0 or any(part[:1] in "._" for part in name.split("/")):
+            left_out.append((prefix + name, uri, status.getLen()))
+    if not left_out:
         return found
-    none = spark.createDataFrame(empty, "rel_path string")
-    return found.unionByName(as_files(none, F.col("rel_path"), F.lit(b"")))
+    rest = spark.createDataFrame(left_out, "rel_path string, uri string, size long").mapInArrow(_read_whole, "rel_path string, content binary")
+    seen = found.join(rest.select("rel_path"), "rel_path", "left_anti").select(*FILE_COLUMNS)
+    return seen.unionByName(as_files(rest, F.col("rel_path"), F.col("content")))
+
+
+def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files by URI, one to a batch."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for name, uri, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            system, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+            data = system.open_input_stream(path).read() if size else b""
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["rel_path", "content"])
 
 
 def scan_list(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
