@@ -27,13 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, least: int = 16 << 20) -> DataFrame:
+    """``df`` dealt evenly over all cores if its files hold under ``least`` bytes a core, by Spark's estimate.
+
+    A small table may be one row group, which one task would read and work on alone. Beyond
+    that size the files' own splits keep all cores busy, and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < least * cores else df
+
+
 def document_path() -> Column:
     return F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each document: lang/source/doc_id.txt."""
-    return as_files(table(spark, sf_dir, "documents"), document_path(), F.encode("text", "UTF-8"))
+    return as_files(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")), document_path(), F.encode("text", "UTF-8"))
 
 
 #: The same relation in DuckDB SQL.
