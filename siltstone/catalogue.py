@@ -473,3 +473,30 @@ def streaming_dedup(spark, sf_dir):
     base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     to_files = lambda d: as_files(d, document_path(), F.encode("text", "UTF-8"))
     return dedup_folder(spark, f"{sf_dir}/documents.parquet*", table(spark, sf_dir, "documents").schema, to_files, f"{base}/out", f"{base}/state", ChunkOptions(AVG))
+
+
+@query(with_files("SELECT rel_path, orig_size, true AS in_index, true AS sizes_add_up FROM files"))
+def archive_relations(spark, sf_dir):
+    """Index and manifest of chunked archives as read from their bytes, joined: every reference is there and lengths add up."""
+    from .sources.archives import archive_index, archive_manifest
+
+    made = _archived(document_files(spark, sf_dir), "2")
+    refs = archive_manifest(made).select("archive", "rel_path", "orig_size", F.posexplode_outer("chunk_hashes").alias("i", "hash"))
+    joined = refs.join(archive_index(made), ["archive", "hash"], "left")
+    out = joined.groupBy("rel_path", "orig_size").agg(F.bool_and(F.col("hash").isNull() | F.col("original_size").isNotNull()).alias("in_index"), F.coalesce(F.sum("original_size"), F.lit(0)).alias("n"))
+    return out.select("rel_path", "orig_size", "in_index", (F.col("n") == F.col("orig_size")).alias("sizes_add_up"))
+
+
+@query(with_files("SELECT rel_path, ('0x' || substr(hex(content), 1, 2))::BIGINT + 256 * ('0x' || substr(hex(content), 3, 2))::BIGINT AS head, substr(sha256(content), 1, 16) AS prefix FROM files WHERE orig_size >= 2"))
+def binary_heads(spark, sf_dir):
+    files = document_files(spark, sf_dir).where("orig_size >= 2")
+    return files.select("rel_path", S.little_endian(F.col("content"), 0, 2).alias("head"), S.hash_prefix(F.sha2("content", 256)).alias("prefix"))
+
+
+@query("SELECT count(*) AS files, sum(octet_length(encode(string_agg)))::BIGINT AS bytes, max(turns) AS most_turns FROM (SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS string_agg FROM conversations GROUP BY conv_id)")
+def conversation_listing(spark, sf_dir):
+    from .sources.files import conversation_files
+
+    files = conversation_files(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").count().agg(F.max("count").alias("most_turns"))
+    return files.agg(F.count("*").alias("files"), F.sum("orig_size").alias("bytes")).crossJoin(F.broadcast(turns))  # one row each

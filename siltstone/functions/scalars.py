@@ -86,3 +86,16 @@ def archive_format(content: Column) -> Column:
         out = out.when(head == F.lit(magic), F.lit(name))
     out = out.when(F.substring(content, 1, 2) == F.lit(MAGIC_ZIP), F.lit("ZIP")).when(F.substring(content, 1, 6) == F.lit(MAGIC_XZ), F.lit("XZ"))
     return out.otherwise(F.lit("UNKNOWN"))
+
+
+def little_endian(data: Column, offset: int, width: int) -> Column:
+    """The unsigned number of up to 7 bytes at an offset of a binary column; null past its end."""
+    part = F.substring(data, offset + 1, width)
+    digits = F.hex(part)
+    swapped = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
+    return F.when(F.octet_length(part) == width, F.conv(swapped, 16, 10).cast("long"))
+
+
+def hash_prefix(hexadecimal: Column) -> Column:
+    """The first 8 bytes of a hash, as messages show it."""
+    return F.lower(F.substring(hexadecimal, 1, 16))

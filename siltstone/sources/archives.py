@@ -382,3 +382,35 @@ def write_archive(files: DataFrame, path: str, archive: str, parts: int = 1, **o
     for k, v in options.items():
         writer = writer.option(k, v.hex() if isinstance(v, bytes) else str(v))
     writer.save(path)
+
+
+# ------------------------------------------------- relations of chunked archives
+
+
+def archive_index(binary_files: DataFrame) -> DataFrame:
+    """(archive, hash, chunk_offset, compressed_size, original_size) of chunked archives; offsets count from the data's start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = value.as_py() or b""
+                if detect(data) == "ARCHIVE2":
+                    _, index, _, _ = read_2_relations(data)
+                    rows = [(name, k.hex(), *v) for k, v in index.items()]
+                    yield pa.RecordBatch.from_pylist([dict(zip(("archive", "hash", "chunk_offset", "compressed_size", "original_size"), r, strict=True)) for r in rows], schema=pa.schema([("archive", pa.string()), ("hash", pa.string()), *[(k, pa.int64()) for k in ("chunk_offset", "compressed_size", "original_size")]]))
+
+    return binary_files.select("path", "content").mapInArrow(run, "archive string, hash string, chunk_offset long, compressed_size long, original_size long")
+
+
+def archive_manifest(binary_files: DataFrame) -> DataFrame:
+    """(archive, rel_path, orig_size, chunk_hashes) of chunked archives, hashes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = value.as_py() or b""
+                if detect(data) == "ARCHIVE2":
+                    _, _, manifests, _ = read_2_relations(data)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(manifests), pa.string()), pa.array([m[0] for m in manifests], pa.string()), pa.array([m[1] for m in manifests], pa.int64()), pa.array([[k.hex() for k in m[2]] for m in manifests], pa.list_(pa.string()))], ["archive", "rel_path", "orig_size", "chunk_hashes"])
+
+    return binary_files.select("path", "content").mapInArrow(run, "archive string, rel_path string, orig_size long, chunk_hashes array<string>")
