@@ -2,7 +2,7 @@
 
 A text is cut at special tokens, normalised, and cut into pieces by the tokenizer's pattern; pieces
 are encoded on their own, so a cache of words serves most of them. A piece longer than
-``LEAF`` is encoded as a tree: its leaves are encoded independently of each other, and
+``LEAF`` is encoded as a tree: its leaves are encoded in parallel, by threads of the library where there are many, and
 then halves are joined bottom-up. At each join the last k tokens of the left half and the
 first k of the right are re-encoded as one string, with k growing twofold, until the
 window's first token is the one the left half has there and its last token the one the right half has.
@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import extended, table
 
 LEAF = 128
+#: With more leaves than this they are encoded by the library's threads.
+MANY = 32
 CACHE = 100_000
 #: Ids that a task holds before it hands them on.
 FLUSH = 500_000
@@ -56,12 +58,14 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
-def tree_encode(text: str, inner: Callable[[str], list[str]], outer: Callable[[str], list[str]], leaf: int = LEAF) -> list[str]:
-    """Tokens of one unsplit piece: ``inner`` encodes what does not reach its end, ``outer`` what does."""
+def tree_encode(text: str, inner: Callable[[str], list[str]], outer: Callable[[str], list[str]], leaf: int = LEAF, batch: Callable[[list[str]], list[list[str]]] | None = None) -> list[str]:
+    """Tokens of one unsplit piece: ``inner`` encodes what does not reach its end, ``outer`` what does, ``batch`` many inner leaves at once."""
     if len(text) <= leaf:
         return outer(text)
     cuts = [*range(0, len(text), leaf), len(text)]
-    parts = [(outer if b == len(text) else inner)(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    leaves = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    parts = batch(leaves[:-1]) if batch and len(leaves) > MANY else [inner(x) for x in leaves[:-1]]
+    parts.append(outer(leaves[-1]))
     while len(parts) > 1:
         joined = [join(parts[i], parts[i + 1], inner, outer, i + 2 == len(parts)) for i in range(0, len(parts) - 1, 2)]
         parts = joined + parts[len(joined) * 2 :]
@@ -95,6 +99,8 @@ class Codec:
         inner = models.BPE(vocab=model["vocab"], merges=merges)
         self.outer = lambda s: [t.value for t in outer.tokenize(s)]
         self.inner = lambda s: [t.value for t in inner.tokenize(s)]
+        bare = Tokenizer(inner)
+        self.batch = lambda leaves: [e.tokens for e in bare.encode_batch(leaves, add_special_tokens=False)]
         self.leaf, self.ids = leaf, dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids.update(self.special)
@@ -107,7 +113,7 @@ class Codec:
         self.words: dict[str, tuple[int, str, str]] = {}
 
     def piece(self, mapped: str) -> list[str]:
-        return tree_encode(mapped, self.inner, self.outer, self.leaf)
+        return tree_encode(mapped, self.inner, self.outer, self.leaf, self.batch)
 
     def _word(self, word: str) -> tuple[int, str, str]:
         """Count, ids and tokens of a word, which may hold several pieces."""

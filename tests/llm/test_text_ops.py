@@ -43,7 +43,7 @@ def test_bpe_is_the_library(library, own, text):
 
 
 def test_bpe_on_long_unsplit_text(library, own, rng):
-    for n in (127, 128, 129, 4000):
+    for n in (127, 128, 129, 4000, 30_000):
         for alphabet in ("a", "ab", "theinganr"):
             text = "".join(rng.choice(alphabet) for _ in range(n))
             assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
