@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, components, dropped, gram_hashes, mix, range_hash, shuffle_width, stored, table, text_blocks, word_hashes
+from .common import arrow_bytes, components, dropped, gram_hashes, mix, range_hash, released, shuffle_width, stored, table, text_blocks, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -258,8 +258,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, label: str) ->
             n_a, n_b = x["n_a"].to_numpy(), x["n_b"].to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(_may_link(overlap_bound(bits[0], n_a, bits[1], n_b), n_a, n_b)))
 
-    near = pairs.where("a <> b").distinct().join(of("a"), "a").join(of("b"), "b").where(_fits("n_a", "n_b"))
+    spark = docs.sparkSession
+    pairs = stored(pairs.where("a <> b").distinct(), f"{label}-pairs")
+    released(spark)
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(_fits("n_a", "n_b"))
     near = stored(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long"), f"{label}-near")
+    dropped(pairs)
+    released(spark)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,6 +278,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, label: str) ->
     # Only the row whose set is the class's own stands for it, where rows share a doc_id.
     whole = whole.join(sets.select(F.col("rep").alias("id"), F.col("s1").alias("c"), F.col("s2").alias("c2")), ["id", "c", "c2"], "left_semi").select("id", "grams")
     whole = stored(whole, f"{label}-arrays")
+    released(spark)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +292,11 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, label: str) ->
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = near.join(whole.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct(), f"{label}-links")
+    links = stored(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct(), f"{label}-links")
+    for old in (whole, near):
+        dropped(old)
+    released(spark)
+    return links
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,7 +309,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(members.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "jaccard-classes")
     linkable = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    tile = stored(tiles(linkable, frequent_marks(linkable, power), power), "jaccard-tiles")
+    marks = frequent_marks(linkable, power)
+    released(spark)
+    tile = stored(tiles(linkable, marks, power), "jaccard-tiles")
+    released(spark)
     own = members.join(classes.select("n", "s1", "s2", F.col("rep")), ["n", "s1", "s2"]).where("doc_id = rep").groupBy("rep", "n", "s1", "s2").agg(F.first("bits").alias("bits"))
     own = stored(own, "jaccard-own")
     named = lambda c, as_: own.select(F.col("s1").alias(c), F.col("rep").alias(as_))
@@ -308,14 +321,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comp = stored(components(first, "jaccard-c1"), "jaccard-comp1")
     info = own.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("s1").alias("c"), "rep", F.coalesce("component", "rep").alias("comp"), "bits")
     rows = stored(tile.drop("before", "before_n").join(info.drop("bits"), "c"), "jaccard-rows")
+    dropped(tile)
+    released(spark)
     mixed = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("d")).where("lo <> hi AND d > 2").select("s")
     multi = rows.join(mixed, "s", "left_semi").join(own.select("rep", "bits"), "rep").select("s", "rep", "n", "comp", "bits")
     second = verified(cross_pairs(multi, width), own, docs, "jaccard-2")
     comp = stored(components(first.unionByName(second), "jaccard-c2"), "jaccard-comp2")
     final = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     final = stored(final, "jaccard-final")
-    for old in (tile, rows):
-        dropped(old)
+    dropped(rows)
     out = members.select("doc_id", "n", "s1", "s2").join(final, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)
@@ -338,12 +352,13 @@ WITH RECURSIVE d AS (
 ), g AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM d
-), e AS (SELECT doc_id, unnest(s) AS x FROM g),
+), e AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS x, len(s) AS n FROM g),
 p AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
-), l AS (
-  SELECT u, v FROM p JOIN g a ON a.doc_id = u JOIN g b ON b.doc_id = v WHERE 100 * k >= 80 * (len(a.s) + len(b.s) - k)
-), r AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, a.n AS m, b.n, count(*) AS k FROM e a JOIN e b
+  ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL
+), h AS MATERIALIZED (SELECT u, v FROM p WHERE 100 * k >= 80 * (m + n - k)),
+l AS MATERIALIZED (SELECT u, v FROM h UNION ALL SELECT v, u FROM h),
+r AS (
   SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u
 )
 SELECT g.doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, c AS component_id
