@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heapreplace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,32 +89,50 @@ def archive_sizes(files: DataFrame, chunks: DataFrame, dict_bytes: int = 0) -> D
     return both.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def lpt_assignment(tasks: DataFrame, workers: int, bins: int = 4096) -> DataFrame:
-    """(worker, tasks, load): largest task first, to the least loaded worker, for reports.
-
-    Tasks of a size are counted first; only sizes and counts, ``bins`` rows at most by size classes, meet in the
-    greedy step.
+def _fill(load: list[int], count: list[int], size: int, n: int) -> None:
+    """``n`` tasks of one size, each to the least loaded worker (ties: the first), as if one by one."""
+    workers = len(load)
+    if size <= 0:
+        count[min(range(workers), key=lambda w: (load[w], w))] += n
+        return
+    if n > workers:
+        # Loads filled up to a level that one by one would reach with tasks to spare.
+        below = (n - workers) * size
+        for i, top in enumerate(ranked := sorted(load)):
+            below += top
+            level = below // (i + 1)
+            if i + 1 == workers or level <= ranked[i + 1]:
+                break
+        for w in range(workers):
+            whole = max(0, -((load[w] - level) // size))
+            load[w], count[w], n = load[w] + whole * size, count[w] + whole, n - whole
+    heap = [(x, w) for w, x in enumerate(load)]
+    heapify(heap)
+    for _ in range(n):
+        x, w = heap[0]
+        heapreplace(heap, (x + size, w))
+        load[w], count[w] = x + size, count[w] + 1
+
+
+def lpt_assignment(tasks: DataFrame, workers: int) -> DataFrame:
+    """(worker, tasks, load): largest task first, to the least loaded worker (ties: the first), for reports.
+
+    Tasks of a size are counted first; only exact sizes and their counts meet in the greedy step, which depends on
+    all before it. They are read in order and not held. A null size counts as 0.
     """
-    width = F.greatest(F.lit(1), F.ceil(F.col("top") / bins))
-    top = tasks.agg(F.max("orig_size").alias("top"))
-    sizes = tasks.crossJoin(F.broadcast(top)).groupBy((F.ceil(F.col("orig_size") / width) * width).cast("long").alias("size")).agg(F.count("*").alias("n"), F.sum("orig_size").alias("bytes"))
+    size = F.coalesce("orig_size", F.lit(0)).cast("long").alias("size")
+    sizes = tasks.groupBy(size).agg(F.count("*").alias("n"))
+    none = tasks.sparkSession.range(1).select(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("n"))  # else no task runs for an empty table
+    sizes = sizes.unionByName(none).repartition(1).sortWithinPartitions(F.desc("size"))
 
     def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("size", ascending=False)
-        load, count = [0.0] * workers, [0] * workers
-        for n, total in zip(rows["n"], rows["bytes"], strict=True):
-            each, left = total / n, int(n)
-            whole, left = divmod(left, workers)
-            for w in range(workers):
-                load[w] += each * whole
-                count[w] += whole
-            for _ in range(left):
-                w = min(range(workers), key=lambda i: (load[i], i))
-                load[w] += each
-                count[w] += 1
-        yield pd.DataFrame({"worker": range(workers), "tasks": count, "load": [int(x + 0.5) for x in load]})
-
-    return sizes.coalesce(1).mapInPandas(greedy, "worker int, tasks long, load long")
+        load, count = [0] * workers, [0] * workers
+        for rows in batches:
+            for size, n in zip(rows["size"].tolist(), rows["n"].tolist(), strict=True):
+                _fill(load, count, size, n)
+        yield pd.DataFrame({"worker": range(workers), "tasks": count, "load": load})
+
+    return sizes.mapInPandas(greedy, "worker int, tasks long, load long")
 
 
 def progress_deltas(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
