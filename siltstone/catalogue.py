@@ -71,6 +71,11 @@ def largest_first(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("orig_size"), "rel_path")))
 
 
+@query(with_files("SELECT rel_path, orig_size, row_number() OVER (ORDER BY orig_size DESC NULLS LAST, rel_path NULLS LAST) AS place FROM files"))
+def largest_first_all(spark, sf_dir):
+    return L.numbered_largest_first(document_files(spark, sf_dir))
+
+
 @query(with_files("SELECT sha256(content) AS digest, count(*) AS files, min(rel_path) AS first_path FROM files GROUP BY 1"))
 def file_digest_dedup(spark, sf_dir):
     files = document_files(spark, sf_dir)

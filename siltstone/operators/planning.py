@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import xz_estimate, zip_estimate
+from ..sources.files import stored
 from .chunks import chunk_estimate
 
 MIN_DICT, MID_DICT, MAX_DICT = 32 << 10, 64 << 10, 112 << 10
@@ -32,6 +33,25 @@ def largest_first(files: DataFrame) -> DataFrame:
     return files.select("rel_path", "orig_size").orderBy(F.desc("orig_size"), "rel_path")
 
 
+def numbered_largest_first(files: DataFrame) -> DataFrame:
+    """(rel_path, orig_size, place) of every file, the largest first; null paths and sizes come last, files alike one after the other.
+
+    Files are dealt by ranges of that order and numbered within their range; only a row for each range meets in a
+    window. The ordered table is written before it is numbered, so that retries can't renumber.
+    """
+    spark = files.sparkSession
+    order = [F.col("orig_size").desc_nulls_last(), F.col("rel_path").asc_nulls_last()]
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("rel_path", "orig_size").repartitionByRange(width, *order).sortWithinPartitions(*order)
+    dealt = stored(dealt.withColumn("at", F.monotonically_increasing_id()), "largest-first")
+    part = F.shiftright("at", 33).alias("part")
+    ranges = dealt.groupBy(part).agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("part", "start", before.alias("before"))
+    placed = dealt.withColumn("part", part).join(F.broadcast(ranges), "part")  # a row for each range
+    return placed.select("rel_path", "orig_size", (F.col("at") - F.col("start") + F.col("before") + 1).alias("place"))
+
+
 def dictionary_params(files: DataFrame) -> DataFrame:
     """One row: dictionary size, sample size for each file, bytes of samples in all."""
     total = files.agg(F.coalesce(F.sum("orig_size"), F.lit(0)).alias("total"), F.count_if(F.col("orig_size") > 0).alias("n"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os.path
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -38,6 +40,15 @@ def spread(df: DataFrame, least: int = 16 << 20) -> DataFrame:
     return df.repartition(cores) if cores > 1 and size < least * cores else df
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` below ``spark.checkpoint.dir``, or a temporary folder where that is absent, and read it back."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-")
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def document_path() -> Column:
     return F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
 

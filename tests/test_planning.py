@@ -39,3 +39,22 @@ def test_assignment_of_nothing_and_of_null(spark):
     tasks = spark.createDataFrame([(None,), (4,)], "orig_size long")
     assert sorted(map(tuple, L.lpt_assignment(tasks, 2).collect())) == [(0, 1, 4), (1, 1, 0)]
     assert sorted(map(tuple, L.lpt_assignment(tasks.where("false"), 2).collect())) == [(0, 0, 0), (1, 0, 0)]
+
+
+def test_every_file_has_its_place(spark):
+    sizes = [None if i % 97 == 0 else i * 7919 % 83 for i in range(1500)]
+    rows = [(f"d/{i}", s) for i, s in enumerate(sizes)] + [("d/5", sizes[5])]
+    files = spark.createDataFrame(rows, "rel_path string, orig_size long").repartition(5)
+    got = sorted((r["place"], r["rel_path"], r["orig_size"]) for r in L.numbered_largest_first(files).collect())
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == [(i + 1, *r) for i, r in enumerate(want)]
+    assert L.numbered_largest_first(files.where("false")).count() == 0
+
+
+def test_largest_first_is_no_top_list(spark, tmp_path):
+    from siltstone.catalogue import QUERIES
+
+    rows = [(i, "x" * (i % 50), "en", "web") for i in range(250)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["largest_first_all"](spark, str(tmp_path)).collect()
+    assert sorted(r["place"] for r in got) == list(range(1, 251))
