@@ -358,7 +358,20 @@ _RULES = {"": "# comment\n\n*7*\n!*77*\n", "thhaed.example.com": "fr/\n"}
 FROM (SELECT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS rel_path FROM pages) WHERE NOT starts_with(rel_path, 'thhaed.example.com/fr/')""")
 def gitignore_filter(spark, sf_dir):
     rules = spark.createDataFrame(P.ignore_rules(_RULES), P.RULES_DDL)
-    return P.ignored(page_files(spark, sf_dir).where(~F.col("rel_path").startswith("thhaed.example.com/fr/")), rules)
+    return P.ignored(page_files(spark, sf_dir), rules)
+
+
+#: Hosts that the tables hold: of sf0.001, sf0.01, sf0.1 and larger ones.
+_NESTED_RULES = {"": "*7*\n!*77*\n", "thther.example.com": "en/\n", "blog.tionsh.example.net": "en/\n", "blog.tionsh.example.com": "fr/\n", "tionsh.example.net": "fr/\n"}
+
+
+@query("""SELECT DISTINCT rel_path, (regexp_matches(rel_path, '7') AND NOT regexp_matches(rel_path, '77'))
+  OR regexp_matches(rel_path, '^(blog\\.tionsh\\.example\\.com|tionsh\\.example\\.net)/(.*/)?fr/')
+  OR regexp_matches(rel_path, '^(thther\\.example\\.com|blog\\.tionsh\\.example\\.net)/(.*/)?en/') AS ignored
+FROM (SELECT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS rel_path FROM pages)""")
+def gitignore_nested(spark, sf_dir):
+    rules = spark.createDataFrame(P.ignore_rules(_NESTED_RULES), P.RULES_DDL)
+    return P.ignored(page_files(spark, sf_dir), rules)
 
 
 _DIRS = ["build", "node_modules", "src", "debug.log", "a/temp", "a/b/temp", "temp", "src/build"]

@@ -59,3 +59,12 @@ def test_incremental_stream(spark, tmp_path):
 
     first = add("a", b"0123456789abcdef" * 500)
     assert first > 0 and add("b", b"0123456789abcdef" * 500) == first and add("c", b"another text. " * 99) > first
+
+
+def test_nested_rule_file_decides_rows_of_the_query(spark, tmp_path):
+    from siltstone.catalogue import QUERIES
+
+    want = {"thhaed.example.com/fr/1.html": True, "thhaed.example.com/fr/77": True, "thhaed.example.com/a/fr/2": True, "thhaed.example.com/en/1": False, "thhaed.example.com/en/7": True, "other.example.com/fr/1": False, "thhaed.example.com/fr": False}
+    pages = [(i, f"http://{p}?q=1", "") for i, p in enumerate(want)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r["rel_path"]: r["ignored"] for r in QUERIES["gitignore_filter"](spark, str(tmp_path)).collect()} == want
