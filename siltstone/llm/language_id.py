@@ -166,10 +166,14 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Profiles from the rows that aren't held out."""
+    return learn(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()), lang_col, text_col)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with held_out, lang_pred and score; learned from the rows that aren't held out."""
-    profiles = learn(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()), lang_col, text_col)
-    return predict(docs.withColumn("held_out", held_out(id_col)), profiles, text_col)
+    return predict(docs.withColumn("held_out", held_out(id_col)), learned(docs, id_col, text_col, lang_col), text_col)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

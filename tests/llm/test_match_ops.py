@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -249,3 +250,20 @@ def test_pipeline_stages_are_the_operators(spark, tmp_path, rng):
     assert set(range(60)) <= counts[2]
     again = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens").collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, now.select("doc_id", "n_tokens").collect()))
+
+
+def test_pipeline_language_stage_decides_by_score(spark, rng):
+    import corpus_pipeline
+
+    words = {"en": ["the", "and", "tion", "that", "ing"], "de": ["der", "und", "ein", "sch", "ung"]}
+    rows = [(i, " ".join("".join(rng.choice(words[lang]) for _ in range(3)) for _ in range(40)), lang, "a") for i in range(60) for lang in [rng.choice(list(words))]]
+    odd = [(100, "привет это текст", "en", "a"), (101, "这是一个中文句子", None, "a"), (102, "qzqz xzvq zqjx qxvz", "de", "a"), (103, None, "en", "a"), (104, "12 34", "en", "a")]
+    # Ids of odd texts are such that none is learned from.
+    ids = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 3 == 1][: len(odd)]
+    odd = [(i, *r[1:]) for i, r in zip(ids, odd, strict=True)]
+    ddl = "doc_id long, text string, lang string, source string"
+    got = corpus_pipeline.languages(spark, spark.createDataFrame(rows + odd, ddl), "")
+    assert got.columns == ["doc_id", "text", "lang", "source"]
+    assert sorted(map(tuple, got.collect())) == rows
+    unlabelled = [(i, t, None, s) for i, t, _, s in rows]
+    assert sorted(map(tuple, corpus_pipeline.languages(spark, spark.createDataFrame(unlabelled, ddl), "").collect())) == unlabelled
