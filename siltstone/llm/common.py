@@ -7,8 +7,10 @@ temporary folder is made.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
-import gc
+import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,38 +32,44 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
+        atexit.register(shutil.rmtree, _OWN_DIRS[app], ignore_errors=True)
     return _OWN_DIRS[app]
 
 
-def stored(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the scratch folder and read it back: later stages survive lost executors."""
+#: Spark deletes the shuffle files of an execution as soon as that is over.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back: later stages survive lost executors.
+
+    The shuffle files that led to it go with the write, so only tables and the step at work take disk.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(_nullable(df.schema)).parquet(path)
     out._scratch_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table from ``stored`` that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    with contextlib.suppress(Exception):
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are done; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``stored`` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        with contextlib.suppress(Exception):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -119,8 +127,13 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
 
 # ------------------------------------------------------------------- hashing
 
-_B = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Spans of more bytes than this are hashed one by one, by BLAKE2b.
+LONG = 32
+_TAIL = ~np.uint64(0) >> (np.uint64(64) - np.arange(1, 9, dtype=np.uint64) * np.uint64(8))
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[0x41:0x5B] += 0x20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,38 +146,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_table(fold: bool) -> np.ndarray:
-    t = mix(np.arange(1, 257, dtype=np.uint64) * _B)
-    if fold:
-        t[0x41:0x5B] = t[0x61:0x7B]
-    return t
-
-
-#: A 64-bit value for each byte; in the second A-Z count as a-z.
-BYTE, BYTE_FOLDED = _byte_table(False), _byte_table(True)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros past the end; a view, n + 1 places."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of data[start:end]: eight bytes a step, each mixed with all before, so no sums or powers that cancel. ``fold``: A-Z count as a-z."""
+    n = ends - starts
+    words = eights(FOLD[data] if fold else data)
+    out = mix(n.astype(np.uint64) + _STEP)
+    rows, done = np.flatnonzero((n > 0) & (n <= LONG)), 0
+    while len(rows):
+        left = n[rows] - done
+        out[rows] = mix(out[rows] * _ODD ^ (words[starts[rows] + done] & _TAIL[np.minimum(left, 8) - 1]))
+        rows, done = rows[left > 8], done + 8
+    raw = memoryview(words.base)
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i modulo 2^64 for i < n."""
-    have = _POWERS.get(0)
-    if have is None or len(have[0]) < n:
-        n = 1 << max(16, (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        have = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b))]) for b in (_B, inverse))
-        if n <= 1 << 22:
-            _POWERS[0] = have
-    return have
+def _factors(n: int, seed: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP + np.uint64(seed)) | np.uint64(1)
 
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes, modulo 2^64, of values[start:end], mixed with the length."""
+def run_hash(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int, seed: int = 0) -> np.ndarray:
+    """Hash of each run values[start : start + size] of hashed values, with a factor of its own for each place; other seeds, other hashes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=total[1:])
-    out = (total[ends] - total[starts]) * inverse[starts]
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if isinstance(sizes, int):
+        factors = _factors(sizes, seed)
+        out = values[starts] * factors[0]
+        for k in range(1, sizes):
+            out += values[starts + k] * factors[k]
+        return mix(out + np.uint64(sizes))
+    factors = _factors(int(sizes.max()), seed)
+    out, rows, k = sizes.astype(np.uint64), np.flatnonzero(sizes > 0), 0
+    while len(rows):
+        out[rows] += values[starts[rows] + k] * factors[k]
+        k += 1
+        rows = rows[sizes[rows] > k]
+    return mix(out)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,13 +213,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A hash and the text number of each word."""
     starts, ends, doc = word_spans(data, offsets)
-    return range_hash((BYTE_FOLDED if fold else BYTE)[data], starts, ends), doc
+    return span_hash(data, starts, ends, fold), doc
 
 
 def gram_hashes(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``size`` words inside one text, and the number of its first word."""
     at = np.flatnonzero(doc[size - 1 :] == doc[: len(doc) - size + 1]) if len(doc) >= size else np.zeros(0, np.int64)
-    return range_hash(words, at, at + size), at
+    return run_hash(words, at, size), at
 
 
 # ---------------------------------------------------------------- components
@@ -207,26 +232,25 @@ def components(edges: DataFrame, label: str, max_rounds: int = 40) -> DataFrame:
     then all of its neighbours, to its least neighbour. Neighbour lists are never gathered:
     a round is two min-aggregations, combined before the shuffle, and joins that Spark can
     split, so a vertex with a third of all edges does no harm. Rounds grow with the log of
-    the longest path; the number of changed edges, one number, is all the driver sees.
+    the longest path; whether any vertex is left to move, one number, is all the driver sees.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-edges")
+    ends = lambda u, v: F.explode(F.array(F.struct(F.col(u).alias("u"), F.col(v).alias("v")), F.struct(F.col(v).alias("u"), F.col(u).alias("v")))).alias("e")
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), f"{label}-large")
-        # Large star: neighbours greater than u go to the least of u and its neighbours.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, f"{label}-l")
-        small_least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-small")
-        # Small star: all lesser neighbours of u, and u, go to the least of them.
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        small = stored(small.select("e.u", "e.v").where("u <> v").distinct(), f"{label}-round")
-        # A forest of stars is final: no vertex is both a leaf and a centre, and each leaf has one centre.
-        leaves = small.groupBy("u").agg(F.count("*").alias("n"))
-        unstable = leaves.where("n > 1").select("u").unionByName(small.select("u").join(small.select(F.col("v").alias("u")).distinct(), "u", "left_semi")).limit(1).count()
-        for old in (now, least, large, small_least):
-            dropped(old)
-        now = small
-        if not unstable:
+        # A forest of stars is final: each leaf has one centre, and no vertex is both.
+        roles = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("x"), F.lit(0).alias("leaf")))).alias("r"))
+        roles = roles.groupBy("r.x").agg(F.sum("r.leaf").alias("leaves"), F.min("r.leaf").alias("least"))
+        if not roles.where("leaves > 1 OR (leaves = 1 AND least = 0)").limit(1).count():
             centres = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres)
+        both = now.select(ends("u", "v")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # Large star: neighbours greater than u go to the least of u and its neighbours.
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{label}-large")
+        dropped(now)
+        # Small star: all lesser neighbours of u, and u, go to the least of them.
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        now = stored(small.select("e.u", "e.v").where("u <> v").distinct(), f"{label}-round")
+        dropped(large)
     raise RuntimeError("components did not settle")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import NO_ID, is_marked, keyed, leftmost_minima, merged, range_cuts, repeated_marks, runs, with_spans
-from .common import mix, range_hash, shuffle_width, stored, table, text_blocks, word_hashes
+from .common import mix, run_hash, shuffle_width, stored, table, text_blocks, word_hashes
 
 WORDS = 20
 SEED = 8
@@ -126,7 +126,7 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
         """Words and their text; seeds; start and anchor of each window."""
         words, doc = word_hashes(data, offsets)
         n = len(words) - SEED + 1
-        seeds = range_hash(words, np.arange(n), np.arange(SEED, n + SEED)) if n > 0 else np.zeros(0, np.uint64)
+        seeds = run_hash(words, np.arange(n), SEED) if n > 0 else np.zeros(0, np.uint64)
         minima = leftmost_minima(seeds, length - SEED + 1)
         start = np.flatnonzero(doc[: len(minima)] == doc[length - 1 : length - 1 + len(minima)])
         return words, doc, seeds, start, minima[start]
@@ -149,7 +149,7 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
                 if not len(first):
                     continue
                 a, b = start[first], start[np.append(first[1:], len(start)) - 1] + length
-                name = mix(range_hash(words, a, b) ^ (anchor[first] - a).astype(np.uint64))
+                name = mix(run_hash(words, a, b - a) ^ (anchor[first] - a).astype(np.uint64))
                 _, pick, which = np.unique(name, return_index=True, return_inverse=True)
                 lead = seed[anchor[first]][pick]
                 order = np.argsort(lead, kind="stable")
@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
         place = np.concatenate(places)
         own = place["stretch"].astype(np.int64) + np.repeat(base[:-1], list(map(len, places)))
         # Equal stretches of all blocks become one, whose least place stands for it.
-        _, pick, which = np.unique(range_hash(words, at[:-1], at[1:]), return_index=True, return_inverse=True)
+        _, pick, which = np.unique(run_hash(words, at[:-1], size), return_index=True, return_inverse=True)
         own = which[own]
         by = np.lexsort((place["at"], place["key"], place["id"], own))
         place, own = place[by], own[by]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, components, dropped, gram_hashes, mix, range_hash, released, shuffle_width, stored, table, text_blocks, word_hashes
+from .common import arrow_bytes, components, dropped, gram_hashes, mix, run_hash, shuffle_width, stored, table, text_blocks, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -54,7 +54,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tu
     first = np.concatenate([[0], np.cumsum(counts)])
     few = np.flatnonzero((counts > 0) & (counts < size))
     owner = np.concatenate([doc[at], few])
-    grams = np.concatenate([grams, range_hash(words, first[few], first[few + 1])])
+    grams = np.concatenate([grams, run_hash(words, first[few], counts[few])])
     if len(few):
         order = np.argsort(owner, kind="stable")
         owner, grams = owner[order], grams[order]
@@ -260,11 +260,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, label: str) ->
 
     spark = docs.sparkSession
     pairs = stored(pairs.where("a <> b").distinct(), f"{label}-pairs")
-    released(spark)
     near = pairs.join(of("a"), "a").join(of("b"), "b").where(_fits("n_a", "n_b"))
     near = stored(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long"), f"{label}-near")
     dropped(pairs)
-    released(spark)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +276,6 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, label: str) ->
     # Only the row whose set is the class's own stands for it, where rows share a doc_id.
     whole = whole.join(sets.select(F.col("rep").alias("id"), F.col("s1").alias("c"), F.col("s2").alias("c2")), ["id", "c", "c2"], "left_semi").select("id", "grams")
     whole = stored(whole, f"{label}-arrays")
-    released(spark)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +292,6 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, label: str) ->
     links = stored(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct(), f"{label}-links")
     for old in (whole, near):
         dropped(old)
-    released(spark)
     return links
 
 
@@ -310,9 +306,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = stored(members.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "jaccard-classes")
     linkable = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     marks = frequent_marks(linkable, power)
-    released(spark)
     tile = stored(tiles(linkable, marks, power), "jaccard-tiles")
-    released(spark)
     own = members.join(classes.select("n", "s1", "s2", F.col("rep")), ["n", "s1", "s2"]).where("doc_id = rep").groupBy("rep", "n", "s1", "s2").agg(F.first("bits").alias("bits"))
     own = stored(own, "jaccard-own")
     named = lambda c, as_: own.select(F.col("s1").alias(c), F.col("rep").alias(as_))
@@ -322,7 +316,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     info = own.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("s1").alias("c"), "rep", F.coalesce("component", "rep").alias("comp"), "bits")
     rows = stored(tile.drop("before", "before_n").join(info.drop("bits"), "c"), "jaccard-rows")
     dropped(tile)
-    released(spark)
     mixed = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("d")).where("lo <> hi AND d > 2").select("s")
     multi = rows.join(mixed, "s", "left_semi").join(own.select("rep", "bits"), "rep").select("s", "rep", "n", "comp", "bits")
     second = verified(cross_pairs(multi, width), own, docs, "jaccard-2")

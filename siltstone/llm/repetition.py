@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BYTE, extended, range_hash, table, text_blocks, word_spans
+from .common import extended, span_hash, table, text_blocks, word_spans
 
 MIN_WORDS = 10
 MAX_COVERED = 0.3
@@ -99,7 +99,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS) -
     """The counts of each text of a block."""
     n = len(offsets) - 1
     starts, ends, doc = word_spans(data, offsets)
-    words = range_hash(BYTE[data], starts, ends)
+    words = span_hash(data, starts, ends)
     per_doc = lambda where: np.bincount(where, minlength=n).astype(np.int64)
     upto = lambda flag: np.concatenate([[0], np.cumsum(flag)])
     out = {"n_words": per_doc(doc)}
@@ -112,7 +112,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS) -
     line_doc = np.sort(np.concatenate([np.arange(n), np.searchsorted(offsets, breaks, side="right") - 1]))
     line_ends = np.where(np.append(line_doc[1:] == line_doc[:-1], False), np.append(line_starts[1:] - 1, 0), offsets[line_doc + 1])
     with_word = np.searchsorted(starts, line_starts) < np.searchsorted(starts, line_ends)
-    line_hash, line_doc = range_hash(BYTE[data], line_starts[with_word], line_ends[with_word]), line_doc[with_word]
+    line_hash, line_doc = span_hash(data, line_starts[with_word], line_ends[with_word]), line_doc[with_word]
     order = np.lexsort((line_hash, line_doc))
     again = (line_hash[order][1:] == line_hash[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
     out["n_dup_lines"] = per_doc(line_doc[order][1:][again])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE, BYTE_FOLDED, SPACE, extended, range_hash, stored, table, text_blocks, word_spans
+from .common import SPACE, extended, span_hash, stored, table, text_blocks, word_spans
 
 SAMPLE = 20_000
 FEATURE_BITS = 20
@@ -47,14 +47,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     bare = data.copy()
     bare[_PUNCT[data]] = 0x20
     starts, ends, doc = word_spans(bare, offsets)
-    words = range_hash(BYTE_FOLDED[bare], starts, ends)
+    words = span_hash(bare, starts, ends, fold=True)
     kind = _KIND[data]
     change = np.ones(len(data), bool)
     change[1:] = (kind[1:] != kind[:-1]) | SPACE[data[1:]]
     change[offsets[:-1][offsets[:-1] < len(data)]] = True
     at = np.concatenate([[0], np.cumsum(change)])[offsets]
     starts, ends, shape_doc = word_spans(kind[change], at)
-    shapes = range_hash(BYTE[kind[change]], starts, ends) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
+    shapes = span_hash(kind[change], starts, ends) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
     order = np.lexsort((words, doc))
     new = np.ones(len(words), bool)
     new[1:] = (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])

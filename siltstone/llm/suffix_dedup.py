@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import NO_ID, is_marked, keyed, leftmost_minima, merged, range_cuts, repeated_marks, runs, with_spans
-from .common import BYTE, arrow_bytes, mix, range_hash, shuffle_width, stored, table
+from .common import arrow_bytes, mix, shuffle_width, span_hash, stored, table
 
 LENGTH = 50
 SEED = 16
@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 a, b = start[first], start[np.append(first[1:], len(start)) - 1] + length
                 owner = np.searchsorted(at, a, side="right") - 1
                 # Equal stretches once: by seed, place of the seed and content.
-                name = mix(range_hash(BYTE[block], a, b) ^ (anchor[first] - a).astype(np.uint64))
+                name = mix(span_hash(block, a, b) ^ (anchor[first] - a).astype(np.uint64))
                 _, pick, which = np.unique(name, return_index=True, return_inverse=True)
                 lead = seed[anchor[first]][pick]
                 order = np.argsort(lead, kind="stable")
@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         place = np.concatenate(places)
         own = place["stretch"].astype(np.int64) + np.repeat(base[:-1], list(map(len, places)))
         # Equal stretches of all blocks become one; the least id that has it stands for it.
-        name = range_hash(BYTE[data], at[:-1], at[1:])
+        name = span_hash(data, at[:-1], at[1:])
         _, pick, which = np.unique(name, return_index=True, return_inverse=True)
         own = which[own]
         least = np.full(len(pick), np.iinfo(np.int64).max)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from siltstone.llm import embedding_dedup, fm_index, jaccard, site_quality, suffix_dedup
+from siltstone.llm import embedding_dedup, fm_index, jaccard, repetition, site_quality, suffix_dedup
 from siltstone.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -267,3 +267,23 @@ def test_pipeline_language_stage_decides_by_score(spark, rng):
     assert sorted(map(tuple, got.collect())) == rows
     unlabelled = [(i, t, None, s) for i, t, _, s in rows]
     assert sorted(map(tuple, corpus_pipeline.languages(spark, spark.createDataFrame(unlabelled, ddl), "").collect())) == unlabelled
+
+
+# ------------------------------------------------------------------ hashes
+
+
+def thue_morse(bits, a="a", b="b"):
+    return "".join(b if i.bit_count() & 1 else a for i in range(1 << bits))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever the base."""
+    x, y = thue_morse(10), thue_morse(10, "b", "a")
+    two = spark.createDataFrame([(1, x), (2, y), (3, x.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(two).collect()} == {1: 1, 2: 2, 3: 1}
+    long = lambda first: " ".join([first, *[f"w{i}" for i in range(19)]])
+    rows = [(1, long(x)), (2, long(y)), (3, long(x))]
+    got = fm_index.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept").collect()
+    assert sorted([tuple(r) for r in got], key=repr) == words_brute(rows)
+    lines = spark.createDataFrame([(1, f"{x}\n{y}"), (2, f"{x}\n{x}\n {x}")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in repetition.quality_rules(lines).collect()} == {1: (0, 0), 2: (1, 0)}
