@@ -80,9 +80,10 @@ def shingles(text):
     return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-@pytest.mark.parametrize("frequent", [48, 2])
-def test_jaccard_against_brute_force(spark, rng, monkeypatch, frequent):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+@pytest.mark.parametrize(("marked", "block"), [(1 << 23, 1024), (3, 3)])
+def test_jaccard_against_brute_force(spark, rng, monkeypatch, marked, block):
+    monkeypatch.setattr(jaccard, "MARKED", marked)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     words = [f"w{i}" for i in range(400)]
     passage = [rng.choice(words) for _ in range(12)]
     texts = []
@@ -287,3 +288,23 @@ def test_words_that_polynomial_hashes_confuse(spark):
     assert sorted([tuple(r) for r in got], key=repr) == words_brute(rows)
     lines = spark.createDataFrame([(1, f"{x}\n{y}"), (2, f"{x}\n{x}\n {x}")], "doc_id long, text string")
     assert {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in repetition.quality_rules(lines).collect()} == {1: (0, 0), 2: (1, 0)}
+
+
+def test_all_links(spark, rng, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    words = [f"w{i}" for i in range(50)]
+    base = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(60):  # one group of near copies: a tile of many classes
+        t = list(base)
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(" ".join(t + [rng.choice(words) for _ in range(rng.randrange(20))]))
+    rows = list(enumerate(texts))
+    sets = {i: shingles(t) for i, t in rows}
+    found, members = jaccard.links(spark.createDataFrame(rows, "doc_id long, text string"))
+    rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+    assert all(sets[i] == sets[r] and r <= i for i, r in rep.items()) and len(rep) == len(rows)
+    reps = sorted(set(rep.values()))
+    want = {(i, j) for i in reps for j in reps if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(want) > 100 and {(r["a"], r["b"]) for r in found.collect()} == want
