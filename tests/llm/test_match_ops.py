@@ -72,6 +72,27 @@ def test_embedding_blocks(spark, monkeypatch):
     assert embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize(("n", "top", "lists"), [(20_000, 1024, 200), (2000, 6, 20)])
+def test_embedding_recall_on_planted_pairs(spark, monkeypatch, n, top, lists):
+    """Partners at 0.95 to 0.999 in random directions; with few centroids, lists have a second level."""
+    monkeypatch.setattr(embedding_dedup, "TOP", top)
+    monkeypatch.setattr(embedding_dedup, "LIST", lists)
+    npr = np.random.default_rng(2)
+    x = npr.normal(size=(n * 4 // 5, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    of = npr.integers(0, len(x), n - len(x))
+    away = npr.normal(size=(len(of), 32))
+    away -= (away * x[of]).sum(1, keepdims=True) * x[of]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = npr.uniform(0.95, 0.999, (len(of), 1))
+    x = np.concatenate([x, cos * x[of] + np.sqrt(1 - cos**2) * away])
+    want = np.concatenate([(x[i : i + 2000] @ x.T >= 0.95).sum(1) - 1 for i in range(0, len(x), 2000)])
+    got = embedding_dedup.embedding_links(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).select("vec_id", "n_links").collect()
+    found = np.zeros(len(x), int)
+    found[[r["vec_id"] for r in got]] = [r["n_links"] for r in got]
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum() > 0
+
+
 # ------------------------------------------------------------------ op 3
 
 
