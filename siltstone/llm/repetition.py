@@ -2,9 +2,9 @@
 
 Base rules count words, code points, symbols, repeated lines and repeated three-word
 windows. The method's rule builds a suffix array over the words of each text by prefix
-doubling, and reads its longest-common-prefix values: an interval of value >= ``min_words``
-is a maximal repeated substring, and the union of the spans of all of these is what is
-covered. A text is kept if the base rules pass, at most ``max_covered`` of its words are
+doubling, and reads its longest-common-prefix values: the greater of a place's two is the longest run from there that
+also starts elsewhere, the deepest LCP interval that the place is in. Runs of ``min_words`` or more are maximal repeated
+substrings or suffixes of such, so the union of their spans is that of the maximal ones, and it is what is covered. A text is kept if the base rules pass, at most ``max_covered`` of its words are
 covered, and the longest repeat has at most ``max_longest`` words.
 
 The kernel works on blocks of whole texts, whose suffixes are sorted together: the first rank of a suffix
@@ -12,7 +12,8 @@ holds its text, so texts never tie. Suffixes that have become unique leave the
 sort, so its cost follows what is repeated. No text is shuffled.
 
 Cases: null or empty text: counts 0, base_failed. Empty table: no rows. Repeated rows get a
-row each. Very long texts form blocks of their own. Extra columns are ignored.
+row each. Very long texts form blocks of their own: about 60 bytes of memory for each byte, and 4 more for each word and doubling where
+words repeat in long runs. Columns named like the results are ignored as all others are.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from .common import extended, span_hash, table, text_blocks, word_spans
 
 MIN_WORDS = 10
 MAX_COVERED = 0.3
-MAX_LONGEST = 100
+#: Texts that pass the base rules repeat 13 words at most in a run on the tables at hand; over twice that is a copied passage.
+MAX_LONGEST = 30
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -49,7 +51,7 @@ def repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     new = np.concatenate([[True], (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the place of the first of its class
-    levels, span = [rank.copy()], 1
+    levels, span = [rank.astype(np.int32)], 1
     single = np.append(new[1:], True) & new
     active = order[~single]
     # Groups of equal first `span` words are refined by the rank `span` words on, within the text.
@@ -63,7 +65,7 @@ def repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
         start = np.maximum.accumulate(np.where(head, np.arange(len(active)), 0))
         place = np.maximum.accumulate(np.where(new, np.arange(len(active)), 0)) - start
         rank[active] = rank[active] + place
-        levels.append(rank.copy())
+        levels.append(rank.astype(np.int32))
         single = np.append(new[1:], True) & new
         active, span = active[~single], span * 2
     suffixes = np.argsort(rank, kind="stable")
