@@ -1,13 +1,14 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 Two logistic models over hashed words, word shapes and vocabulary richness, one of quality and one of toxicity, give each
-document its evidence: the log odds that it is good, of quality and not toxic. Evidence is summed, as expected counts of good documents, over every path of every host and over hosts;
+document its evidence: the log odds that it is good, of quality and not toxic. Good documents are counted over every path of every
+host and over hosts: a labelled document counts by its label, any other as the chance that its evidence gives it;
 a path's posterior mean is shrunk toward its host's, a host's toward the global mean, each
 with a strength that the method of moments finds from the spread of group means (empirical Bayes).
 A document's score is its evidence plus the log odds of its path less those of the training
 rows: sparse sites lean on their host, sparse hosts on the corpus.
 
-Fitted on at most ``SAMPLE`` labelled rows (by hash of the id); everything else - scores, sites,
+Fitted on about ``SAMPLE`` labelled rows (by hash of the id), and of a text on at most ``FIT_FEATURES`` features (those of least hash); all labels count in their sites, and everything else - scores, sites,
 strengths - covers all documents. Group sums are combined before the shuffle, site tables join by path,
 where Spark can split a hot site, and texts are not shuffled.
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, extended, span_hash, stored, table, text_blocks, word_spans
 
 SAMPLE = 20_000
+FIT_FEATURES = 4096
 FEATURE_BITS = 20
 MIN_DOCS = 4
 STANDS_OUT = 4.0
@@ -72,6 +74,8 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end, data, offsets in text_blocks(batch.column(1)):
             doc, feature = features(data, offsets)
+            nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            doc, feature = doc[nth < FIT_FEATURES], feature[nth < FIT_FEATURES]
             at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=end - start))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.ListArray.from_arrays(at, pa.array(feature.astype(np.int32)))], ["y", "features"])
 
@@ -163,16 +167,19 @@ def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     host = F.col(host) if isinstance(host, str) else host
     path = F.concat_ws("/", host, F.col("lang")) if path is None else path
     labelled = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = labelled.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(id_col, (F.col("quality").cast("int") + 2 * F.col("toxic").cast("int")).alias("y"))
-    rows = docs.select(id_col, F.col(text_col).alias("_sq_text")).join(F.broadcast(chosen), id_col).select("y", "_sq_text").mapInArrow(_listed, "y int, features array<int>").toArrow()
+    labelled = stored(labelled.select(F.col(id_col).alias("_sq_id"), (F.col("quality").cast("int") + 2 * F.col("toxic").cast("int")).alias("y")), "site-labels")
+    share = min(1 << 30, -(-(sample << 30) // max(1, labelled.count())))
+    chosen = labelled.where(F.pmod(F.xxhash64("_sq_id"), F.lit(1 << 30)) < share)
+    rows = docs.select(id_col, F.col(text_col).alias("_sq_text")).join(F.broadcast(chosen), F.col(id_col) == F.col("_sq_id")).select("y", "_sq_text").mapInArrow(_listed, "y int, features array<int>").toArrow()
     lists = rows.column("features").combine_chunks()
     y, at = rows.column("y").to_numpy(), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     models = [fit((y & bit != 0).astype(float), at, lists.flatten().to_numpy().astype(np.int64)) for bit in (1, 2)]
     train_mean = float((y == 1).mean()) if len(y) else 0.5
     scored = evidence(docs.select(F.col(id_col), host.alias("host"), path.alias("path"), F.col(text_col).alias("_sq_text")), models, "_sq_text")
     scored = stored(scored, "site-evidence")
-    p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good")), "site-paths")
+    known = scored.join(labelled, F.col(id_col) == F.col("_sq_id"), "left")
+    p = F.when(F.col("y").isNotNull(), (F.col("y") == 1).cast("double")).otherwise(1 / (1 + F.exp(-F.col("evidence"))))
+    paths = stored(known.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good")), "site-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = hosts.agg(F.sum("good") / F.sum("n")).first()[0]
     mean = float(total) if total is not None else 0.5
