@@ -145,19 +145,19 @@ class Scorer:
         return names, scores
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", top: int = TOP) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", top: int = TOP, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score, named as in ``out``; columns of these names are replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(profiles)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = extended(docs.select(*keep).schema, "lang_pred string, score double")
+    keep = [c for c in docs.columns if c not in out]
+    schema = extended(docs.select(*keep).schema, f"{out[0]} string, {out[1]} double")
     at = keep.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, top)
         for batch in batches:
             names, scores = scorer(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, *out])
 
     return docs.select(*keep).mapInArrow(score, schema)
 

@@ -54,8 +54,8 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
     return out.select("id", "key", "r.pos", "r.h1", "r.h2")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated lines removed from the text, plus n_lines and n_lines_removed."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, out_cols: tuple[str, str] = ("n_lines", "n_lines_removed")) -> DataFrame:
+    """``docs`` with repeated lines removed from the text, plus n_lines and n_lines_removed, named as in ``out_cols``; columns of these names are replaced."""
     windows = stored(_windows(docs, id_col, text_col, window), "line-windows")
     order = F.struct("id", "key", "pos")
     first = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
@@ -79,12 +79,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.withColumns(
         {
             f"{_P}text": F.when(starts.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
-            "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "n_lines_removed": F.coalesce(removed, F.lit(0)).cast("long"),
+            out_cols[0]: F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+            out_cols[1]: F.coalesce(removed, F.lit(0)).cast("long"),
         }
     )
-    keep = [F.col(f"{_P}text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
-    return out.select(*keep, "n_lines", "n_lines_removed")
+    keep = [F.col(f"{_P}text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in out_cols]
+    return out.select(*keep, *out_cols)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
