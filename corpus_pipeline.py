@@ -1,6 +1,8 @@
 """A corpus in five stages: language, lines, near-duplicates, mix, tokens.
 
-Each stage takes what the one before kept, and its decisions take effect on the rows or texts.
+Each stage takes what the one before kept, and its decisions take effect on the rows or texts. Columns besides doc_id, text, lang,
+source and n_chars pass through all stages but the last, whatever their names. An empty table stays empty; a null text goes with the
+first stage, unless nothing can be learned; a null doc_id, repeated rows, ties and very long texts are as in the operators.
 """
 
 from __future__ import annotations
@@ -19,20 +21,23 @@ LANGUAGE_FLOOR = 0.15
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that no learned language fits, those without a letter among them; learned from the rows that aren't held out.
+    """Rejects texts that no learned language fits, those without a letter among them, and gives those without a lang the one predicted.
 
-    Where no row has a language to learn, nothing can be told and all stay.
+    Learned from the rows that aren't held out. Where no row has a language to learn, nothing can be told and all stay.
     """
     profiles = language_id.learned(docs)
     if not profiles:
         return docs
-    return language_id.predict(docs, profiles).where(F.col("score") > LANGUAGE_FLOOR).select(*docs.columns)
+    found = language_id.predict(docs, profiles, out=("_cp_lang", "_cp_score")).where(F.col("_cp_score") > LANGUAGE_FLOOR)
+    return found.withColumn("lang", F.coalesce("lang", "_cp_lang")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated windows of three lines; a document left without a word goes."""
-    out = line_dedup.dedup_lines(docs).where("n_lines_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return out.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Removes repeated windows of three lines, and corrects n_chars where it is a column; a document left without a word goes."""
+    out = line_dedup.dedup_lines(docs, out_cols=("_cp_lines", "_cp_removed")).where("_cp_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cp_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +52,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text that is left, with the digest of what they decode to."""
-    return bpe.encode(docs).select("doc_id", "lang", "source", "n_tokens", "ids")
+    decoded = bpe.decode(bpe.encode(docs))
+    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
