@@ -7,10 +7,11 @@ the stretches of the others go to the shard of their seed, so a window meets all
 it in one shard, and each stretch is streamed through one index, not through all of them.
 
 A shard is a range of seed hashes. It holds the Burrows-Wheeler transform of its distinct stretches as
-a wavelet matrix: a bit a level with counts of ones every 64 bits, n log2(sigma) bits in all. Stretches are
-streamed from each of their ends: backward search narrows the interval of what ends there, word by word, until
-it holds one occurrence only, or until the match has 20 words; such intervals are reported, and
-the least place in an interval decides which of its windows is first.
+a wavelet matrix: a bit a level with counts of ones every 64 bits, n log2(sigma) bits in all, and every fourth place of the
+suffix array. Stretches are streamed through it: from each of their windows' ends, backward search narrows the interval of what ends
+there, word by word, while it holds two occurrences or more; the length reached is the matching statistic of that end, counted to 20
+words. Intervals of 20 words are reported, and the least place in an interval, found by steps to the left from its
+suffixes, decides which of its windows is first.
 
 Equal stretches of a block of text travel once with a list of their places. Spans join the texts by doc_id
 once, at the end.
@@ -35,20 +36,22 @@ from .common import mix, run_hash, shuffle_width, stored, table, text_blocks, wo
 
 WORDS = 20
 SEED = 8
+#: One place of so many is kept of a suffix array.
+KEPT = 4
 
 _PLACE = np.dtype([("stretch", "<u4"), ("id", "<i8"), ("key", "<i8"), ("at", "<i8")])
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes in the order of their first ``depth`` symbols or more."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Places of all suffixes in their order, where each symbol 0 is one of its own, less than the next: no comparison goes past it."""
     n = len(text)
     order = np.argsort(text, kind="stable")
     new = np.ones(n, bool)
-    new[1:] = text[order][1:] != text[order][:-1]
+    new[1:] = (text[order][1:] != text[order][:-1]) | (text[order][1:] == 0)
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     active, span = order[~(new & np.append(new[1:], True))], 1
-    while len(active) and span < depth:
+    while len(active):
         second = np.where(active + span < n, rank[np.minimum(active + span, n - 1)] + 1, 0)
         by = np.lexsort((second, rank[active]))
         active, second = active[by], second[by]
@@ -85,36 +88,68 @@ class WaveletMatrix:
             at = np.where(symbol >> level & 1 == 1, zeros + one, at - one)
         return at
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and where it is at the bottom level."""
+        symbol = np.zeros(len(at), np.int64)
+        for level, words, ones, zeros in self.levels:
+            block, bit = at >> 6, (at & 63).astype(np.uint64)
+            one = ones[block] + np.bitwise_count(words[block] & ((np.uint64(1) << bit) - np.uint64(1)))
+            own = words[block] >> bit & np.uint64(1) == 1
+            symbol |= own.astype(np.int64) << level
+            at = np.where(own, zeros + one, at - one)
+        return symbol, at
+
 
 class FMIndex:
-    """Backward search over a text of symbols 0 (a separator) to sigma - 1."""
+    """Backward search over a text of symbols 0 (a separator) to sigma - 1; of the suffix array only every ``KEPT``-th place of the text is kept."""
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        self.sa = suffix_array(text, depth)
-        self.matrix = WaveletMatrix(text[self.sa - 1], sigma)  # the symbol before place 0 is the last separator
+    def __init__(self, text: np.ndarray, sigma: int):
+        sa = suffix_array(text)
+        self.matrix = WaveletMatrix(text[sa - 1], sigma)  # the symbol before place 0 is the last separator
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.base = self.matrix.walk(np.arange(sigma), np.zeros(sigma, np.int64))
+        # Steps to the left don't cross a separator: first places are kept too.
+        self.kept = (sa % KEPT == 0) | (text[sa - 1] == 0)
+        self.places = sa[self.kept].astype(np.int32 if len(text) < 1 << 31 else np.int64)
+        self.nth = np.cumsum(self.kept, dtype=np.int32 if len(text) < 1 << 31 else np.int64) - 1
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of symbol + match from that of match."""
         shift = self.less[symbol] - self.base[symbol]
         return self.matrix.walk(symbol, lo) + shift, self.matrix.walk(symbol, hi) + shift
 
-
-def repeated_windows(text: np.ndarray, sigma: int, start: np.ndarray, length: int) -> tuple[FMIndex, np.ndarray, np.ndarray, np.ndarray]:
-    """The index, and of the windows at ``start`` those that occur twice or more, with their intervals."""
-    index = FMIndex(text, sigma, length)
-    which = np.arange(len(start))
-    symbol = text[start + length - 1]
-    lo, hi = index.less[symbol], index.less[symbol + 1]
-    for k in range(length - 2, -1, -1):
-        more = hi - lo > 1
-        which, lo, hi = which[more], lo[more], hi[more]
-        if not len(which):
-            break
-        lo, hi = index.extend(text[start[which] + k], lo, hi)
-    more = hi - lo > 1
-    return index, which[more], lo[more], hi[more]
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The place in the text of each suffix, by steps to the left until one that is kept."""
+        out, at, row = np.zeros(len(rows), np.int64), np.arange(len(rows)), rows
+        steps = 0
+        while len(at):
+            there = self.kept[row]
+            out[at[there]] = self.places[self.nth[row[there]]] + steps
+            at, row = at[~there], row[~there]
+            symbol, down = self.matrix.access(row)
+            row, steps = down + self.less[symbol] - self.base[symbol], steps + 1
+        return out
+
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end the length, ``most`` at most, of the longest match that ends there and occurs twice or more, and that match's interval.
+
+        The text is read from each end to the left, so the interval narrows word by word; a match stops at a separator.
+        """
+        symbol = text[ends - 1]
+        lo, hi = self.less[symbol].copy(), self.less[symbol + 1].copy()
+        length = ((hi - lo > 1) & (symbol > 0)).astype(np.int64)
+        which = np.flatnonzero(length)
+        for k in range(1, most):
+            which = which[ends[which] > k]
+            symbol = text[ends[which] - 1 - k]
+            which, symbol = which[symbol > 0], symbol[symbol > 0]
+            if not len(which):
+                break
+            a, b = self.extend(symbol, lo[which], hi[which])
+            more = b - a > 1
+            which = which[more]
+            lo[which], hi[which], length[which] = a[more], b[more], k + 1
+        return length, lo, hi
 
 
 def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
@@ -198,14 +233,18 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
         count = size - length + 1
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         stretch = np.repeat(np.arange(len(pick)), count)
-        index, which, lo, hi = repeated_windows(text, int(symbols.max()) + 2, to[:-1][stretch] + step, length)
+        index = FMIndex(text, int(symbols.max()) + 2)
+        matched, lo, hi = index.matching_statistics(text, to[:-1][stretch] + step + length, length)
+        which = np.flatnonzero(matched >= length)
+        lo, hi = lo[which], hi[which]
         # Order of all occurrences in the reported intervals, and the least of each interval.
         los, back = np.unique(lo, return_inverse=True)
         his = np.zeros(len(los), np.int64)
         his[back] = hi
         row = np.arange((his - los).sum()) - np.repeat(np.cumsum(his - los) - (his - los), his - los) + np.repeat(los, his - los)
-        of = np.searchsorted(to, index.sa[row], side="right") - 1
-        off = index.sa[row] - to[of]
+        found = index.locate(row)
+        of = np.searchsorted(to, found, side="right") - 1
+        off = found - to[of]
         order = np.lexsort((least["at"][of] + off, least["key"][of], least["id"][of]))
         moved = np.ones(len(order), bool)
         x = np.stack([least["id"][of], least["key"][of], least["at"][of] + off], axis=1)[order]
@@ -214,7 +253,7 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
         nth[order] = np.cumsum(moved)
         first = np.minimum.reduceat(nth, np.cumsum(his - los) - (his - los)) if len(los) else nth
         mine = np.zeros(len(text) + 1, np.int64)
-        mine[index.sa[row]] = nth
+        mine[found] = nth
         later = mine[(to[:-1][stretch] + step)[which]] > first[back] if len(which) else np.zeros(0, bool)
         hit = which[later]
         whole = (place["id"] != least["id"][own]) | (place["key"] != least["key"][own]) | (place["at"] != least["at"][own])

@@ -198,7 +198,7 @@ def test_fm_index_dedup_against_brute_force(spark, rng):
 
 def test_backward_search_counts(rng):
     text = np.array([rng.randrange(1, 6) if i % 37 else 0 for i in range(1, 500)] + [0])
-    index = fm_index.FMIndex(text, 6, 8)
+    index = fm_index.FMIndex(text, 6)
     for _ in range(200):
         start, n = rng.randrange(490), rng.randrange(1, 8)
         pattern = text[start : start + n]
@@ -208,7 +208,7 @@ def test_backward_search_counts(rng):
         for c in pattern[:-1][::-1]:
             lo, hi = index.extend(np.array([c]), lo, hi)
         places = {i for i in range(len(text) - n + 1) if (text[i : i + n] == pattern).all()}
-        assert set(index.sa[int(lo[0]) : int(hi[0])].tolist()) == places
+        assert set(index.locate(np.arange(int(lo[0]), int(hi[0]))).tolist()) == places
 
 
 # ------------------------------------------------------------------ op 8
@@ -329,3 +329,21 @@ def test_all_links(spark, rng, monkeypatch):
     reps = sorted(set(rep.values()))
     want = {(i, j) for i in reps for j in reps if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert len(want) > 100 and {(r["a"], r["b"]) for r in found.collect()} == want
+
+
+def test_matching_statistics_against_brute_force(rng):
+    for most in (3, 8):
+        parts = [[rng.randrange(1, 4) for _ in range(rng.randrange(1, 40))] for _ in range(12)]
+        text = np.array([x for p in parts for x in [*p, 0]])
+        index = fm_index.FMIndex(text, 5)
+        ends = np.flatnonzero(text) + 1
+        assert index.locate(np.arange(len(text))).tolist() == fm_index.suffix_array(text).tolist()
+        got = index.matching_statistics(text, ends, most)[0]
+        for end, n in zip(ends.tolist(), got.tolist(), strict=True):
+            best = 0
+            for k in range(1, most + 1):
+                own = text[max(0, end - k) : end]
+                if len(own) < k or 0 in own or sum((text[i : i + k] == own).all() for i in range(len(text) - k + 1)) < 2:
+                    break
+                best = k
+            assert n == best
