@@ -84,10 +84,11 @@ def repeated_marks(docs: DataFrame, seeds: Callable[[pa.RecordBatch], Iterator[n
         return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([marks.astype(np.uint32).tobytes()], pa.binary())})
 
     got = docs.mapInArrow(count, "range int, low binary, many binary").groupBy("range").applyInArrow(add, "range int, marks binary")
-    bits = np.zeros(1 << MARK_BITS, bool)
+    bits = np.zeros(1 << (MARK_BITS - 3), np.uint8)
     for r in got.where(F.octet_length("marks") > 0).toLocalIterator():  # a range at a time; at most the table's places in all
-        bits[(r["range"] << (MARK_BITS - power)) + np.frombuffer(r["marks"], np.uint32).astype(np.int64)] = True
-    return np.packbits(bits)
+        place = (r["range"] << (MARK_BITS - power)) + np.frombuffer(r["marks"], np.uint32).astype(np.int64)
+        np.bitwise_or.at(bits, place >> 3, (128 >> (place & 7)).astype(np.uint8))
+    return bits
 
 
 def is_marked(marks: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -95,18 +96,164 @@ def is_marked(marks: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return (marks[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
+#: A place of a stretch: which one of the block, whether more of its places travel apart, whose it is, and where its first and last of a run begin.
+PLACE = np.dtype([("stretch", "<u4"), ("hot", "u1"), ("id", "<i8"), ("key", "<i8"), ("at", "<i8"), ("to", "<i8")])
+#: A stretch with more places in a block than this is popular: the block sends the least of them with it.
+POPULAR = 8
+SENT = "range int, data binary, sizes binary, places binary"
+HOT = "h1 long, h2 long, size long, id long, key long, at long, to long"
+SPREAD = "id long, key long, spans binary, h1 long, h2 long, at long, size long"
+
+
+def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One index of each distinct pair, and for each pair which of these it equals."""
+    order = np.lexsort((h2, h1))
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+class Stretches:
+    """The stretches values[a:b] of a block: distinct contents in the order of their seed, and runs of places of each.
+
+    Places of one content in one document that are at most ``gap`` apart are a run, so a text of one repeated
+    character or word has two runs, not a place for each; the first place of a run stands by itself.
+    """
+
+    def __init__(self, values, a, b, h1, h2, lead, id_, key, at, gap, popular):
+        pick, which = distinct(h1, h2)
+        lead = lead[pick]
+        order = np.argsort(lead, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.values, self.a, self.b, self.lead = values, a[pick][order], b[pick][order], lead[order]
+        self.h1, self.h2 = h1[pick][order], h2[pick][order]
+        stretch = rank[which]
+        by = np.argsort(stretch, kind="stable")
+        stretch, id_, key, at = stretch[by], id_[by], key[by], at[by]
+        near = np.zeros(len(at), bool)
+        near[1:] = (stretch[1:] == stretch[:-1]) & (id_[1:] == id_[:-1]) & (key[1:] == key[:-1]) & (at[1:] > at[:-1]) & (at[1:] - at[:-1] <= gap)
+        head = ~near  # the first of a run, and the second, begin an entry
+        head[1:] |= near[1:] & ~near[:-1]
+        first = np.flatnonzero(head)
+        self.place = np.empty(len(first), PLACE)
+        for name, column in (("id", id_), ("key", key), ("at", at)):
+            self.place[name] = column[first]
+        self.place["to"] = at[np.append(first[1:], len(at)) - 1] if len(first) else 0
+        self.stretch = stretch[first]
+        self.popular = np.bincount(self.stretch, minlength=len(order)) > popular
+
+    def sent(self, power: int) -> pa.RecordBatch:
+        """Contents by range of seeds, each with its places, or its least one if it is popular."""
+        hot = self.popular[self.stretch]
+        keep = ~hot
+        some = np.flatnonzero(hot)
+        some = some[np.lexsort((self.place["at"][some], self.place["key"][some], self.place["id"][some], self.stretch[some]))]
+        keep[some[np.diff(self.stretch[some], prepend=-1) != 0]] = True
+        place, stretch = self.place[keep], self.stretch[keep]
+        place["hot"] = hot[keep]
+        cuts = range_cuts(self.lead, power)
+        place_cuts = np.searchsorted(stretch, cuts)
+        place["stretch"] = stretch - np.repeat(cuts[:-1], np.diff(place_cuts))
+        out = {"range": [], "data": [], "sizes": [], "places": []}
+        for i in np.flatnonzero(np.diff(cuts)):
+            rows = slice(cuts[i], cuts[i + 1])
+            out["range"].append(i)
+            out["data"].append(b"".join([self.values[x:y].tobytes() for x, y in zip(self.a[rows], self.b[rows], strict=True)]))
+            out["sizes"].append((self.b[rows] - self.a[rows]).astype(np.uint16).tobytes())
+            out["places"].append(place[place_cuts[i] : place_cuts[i + 1]].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(out["range"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("data", "sizes", "places")]], ["range", "data", "sizes", "places"])
+
+    def apart(self) -> pa.RecordBatch:
+        """The places of popular contents, a row each."""
+        some = np.flatnonzero(self.popular[self.stretch])
+        of = self.stretch[some]
+        own = [np.ascontiguousarray(self.place[k][some]) for k in ("id", "key", "at", "to")]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.h1[of].view(np.int64), self.h2[of].view(np.int64), self.b[of] - self.a[of], *own)], ["h1", "h2", "size", "id", "key", "at", "to"])
+
+
+def received(got: pa.Table, dtype: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All contents of a range, their sizes, all places, and the content of each."""
+    data = np.frombuffer(b"".join(got["data"].to_pylist()), dtype)
+    sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got["sizes"].to_pylist()]
+    places = [np.frombuffer(x, PLACE) for x in got["places"].to_pylist()]
+    base = np.cumsum([0, *map(len, sizes)])
+    place = np.concatenate(places)
+    return data, np.concatenate(sizes), place, place["stretch"].astype(np.int64) + np.repeat(base[:-1], list(map(len, places)))
+
+
+def later(place, least, by_id: bool):
+    """Which places are covered in full: those of later documents, or else all but the least place itself."""
+    if by_id:
+        return place["id"] > least["id"]
+    return (place["id"] != least["id"]) | (place["key"] != least["key"]) | (place["at"] != least["at"])
+
+
+def spread(place: np.ndarray, own: np.ndarray, least: np.ndarray, size: np.ndarray, sub: np.ndarray, h1: np.ndarray, h2: np.ndarray, by_id: bool) -> pa.Table:
+    """(id, key, spans) of all places, and what the places of popular contents need to know: their content's least place and covered parts.
+
+    ``sub`` has (content, start, end) of the covered parts, in the order of contents.
+    """
+    whole = later(place, least[own], by_id)
+    ids, keys = [place["id"][whole]], [place["key"][whole]]
+    spans = [np.stack([place["at"][whole], place["to"][whole] + size[own[whole]]], axis=1)]
+    lo, hi = np.searchsorted(sub[:, 0], np.arange(len(size))), np.searchsorted(sub[:, 0], np.arange(len(size)), side="right")
+    rest = np.flatnonzero(~whole)
+    n = (hi - lo)[own[rest]]
+    row, j = np.repeat(rest, n), np.repeat(lo[own[rest]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    ids.append(place["id"][row])
+    keys.append(place["key"][row])
+    spans.append(np.stack([place["at"][row] + sub[j, 1], place["to"][row] + sub[j, 2]], axis=1))
+    ids, keys, spans = np.concatenate(ids), np.concatenate(keys), np.concatenate(spans).astype(np.int64)
+    order = np.lexsort((spans[:, 0], keys, ids))
+    ids, keys, spans = ids[order], keys[order], np.ascontiguousarray(spans[order])
+    head = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])) if len(spans) else np.zeros(0, np.int64)
+    cut = np.append(head, len(spans)).astype(np.int32) * 16
+    some = np.unique(own[place["hot"] == 1])
+    parts = [np.ascontiguousarray(sub[lo[i] : hi[i], 1:]).astype(np.int64).tobytes() for i in some]
+    none = pa.nulls(len(head), pa.int64())
+    both = lambda x, y: pa.concat_arrays([x, pa.array(np.ascontiguousarray(y), pa.int64())])
+    return pa.table({
+        "id": both(pa.array(ids[head]), least["id"][some]), "key": both(pa.array(keys[head]), least["key"][some]),
+        "spans": pa.concat_arrays([pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(cut), pa.py_buffer(spans)]), pa.array(parts, pa.binary())]),
+        "h1": both(none, h1[some].view(np.int64)), "h2": both(none, h2[some].view(np.int64)), "at": both(none, least["at"][some]), "size": both(none, size[some]),
+    })
+
+
+def all_spans(found: DataFrame, hot: DataFrame, by_id: bool) -> DataFrame:
+    """(id, key, spans) from the rows of ``spread``, and of the places that travel apart. Their join is one that Spark can split by skew."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {k: batch.column(k).to_numpy() for k in ("size", "id", "key", "at", "to", "least_id", "least_key", "least_at")}
+            whole = later(x, {k: x[f"least_{k}"] for k in ("id", "key", "at")}, by_id)
+            spans = []
+            for i, part in enumerate(batch.column("parts")):
+                if whole[i]:
+                    spans.append(np.array([x["at"][i], x["to"][i] + x["size"][i]]).tobytes())
+                else:
+                    spans.append((np.frombuffer(part.as_buffer(), np.int64).reshape(-1, 2) + [x["at"][i], x["to"][i]]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(spans, pa.binary())], ["id", "key", "spans"])
+
+    least = found.where("h1 IS NOT NULL").select("h1", "h2", F.col("id").alias("least_id"), F.col("key").alias("least_key"), F.col("at").alias("least_at"), F.col("spans").alias("parts"))
+    placed = hot.join(least, ["h1", "h2"]).drop("h1", "h2").mapInArrow(place, "id long, key long, spans binary").where("octet_length(spans) > 0")
+    return found.where("h1 IS NULL").select("id", "key", "spans").unionByName(placed)
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` (id, key, text) with spans: a binary of (start, end) pairs, or null. Spans of a text are bounded by it."""
-    gathered = spans.groupBy("id", "key").agg(F.array_join(F.collect_list(F.hex("spans")), "").alias("spans"))
-    gathered = gathered.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.unhex("spans").alias("spans"))
+    """``docs`` (id, key, text) with spans: a list of binaries of (start, end) pairs, or null. Spans of a text are bounded by it."""
+    gathered = spans.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
+    gathered = gathered.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "spans")
     return docs.join(gathered, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left").drop("_id", "_key")
 
 
-def merged(spans: bytes | None) -> np.ndarray:
+def merged(spans: list[bytes] | None) -> np.ndarray:
     """Sorted (start, end) rows with no overlap or touch."""
     if not spans:
         return np.zeros((0, 2), np.int64)
-    x = np.frombuffer(spans, np.int64).reshape(-1, 2)
+    x = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
     x = x[np.argsort(x[:, 0], kind="stable")]
     reach = np.maximum.accumulate(x[:, 1])
     new = np.flatnonzero(np.concatenate([[True], x[1:, 0] > reach[:-1]]))

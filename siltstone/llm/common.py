@@ -153,19 +153,22 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of data[start:end]: eight bytes a step, each mixed with all before, so no sums or powers that cancel. ``fold``: A-Z count as a-z."""
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, long: int = LONG, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[start:end]: eight bytes a step, each mixed with all before, so no sums or powers that cancel.
+
+    ``fold``: A-Z count as a-z. Spans of more than ``long`` bytes go by BLAKE2b. Other seeds, other hashes.
+    """
     n = ends - starts
     words = eights(FOLD[data] if fold else data)
-    out = mix(n.astype(np.uint64) + _STEP)
-    rows, done = np.flatnonzero((n > 0) & (n <= LONG)), 0
+    out = mix(n.astype(np.uint64) + _STEP + np.uint64(seed))
+    rows, done = np.flatnonzero((n > 0) & (n <= long)), 0
     while len(rows):
         left = n[rows] - done
         out[rows] = mix(out[rows] * _ODD ^ (words[starts[rows] + done] & _TAIL[np.minimum(left, 8) - 1]))
         rows, done = rows[left > 8], done + 8
     raw = memoryview(words.base)
-    for i in np.flatnonzero(n > LONG).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    for i in np.flatnonzero(n > long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 

@@ -31,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, is_marked, keyed, leftmost_minima, merged, range_cuts, repeated_marks, runs, with_spans
-from .common import mix, run_hash, shuffle_width, stored, table, text_blocks, word_hashes
+from . import anchors
+from .anchors import HOT, NO_ID, SENT, SPREAD, Stretches, all_spans, distinct, is_marked, keyed, leftmost_minima, merged, received, repeated_marks, runs, spread, with_spans
+from .common import run_hash, shuffle_width, stored, table, text_blocks, word_hashes
 
 WORDS = 20
 SEED = 8
 #: One place of so many is kept of a suffix array.
 KEPT = 4
 
-_PLACE = np.dtype([("stretch", "<u4"), ("id", "<i8"), ("key", "<i8"), ("at", "<i8")])
+
+def _names(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name the content words[a:b]."""
+    return run_hash(words, a, b - a), run_hash(words, a, b - a, seed=1)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -154,7 +158,7 @@ class FMIndex:
 
 def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
     """(id, key, spans) of the words that an earlier window has, from (id, key, text)."""
-    spark = docs.sparkSession
+    spark, most = docs.sparkSession, anchors.POPULAR
     power = max(6, min(20, (8 * shuffle_width(spark) - 1).bit_length()))
 
     def windows(data: np.ndarray, offsets: np.ndarray) -> tuple:
@@ -173,7 +177,7 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
 
     marks = spark.sparkContext.broadcast(repeated_marks(docs, seeds_of, power))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Stretches]:
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, _, data, offsets in text_blocks(batch.column(2)):
@@ -181,44 +185,24 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
                 keep = is_marked(marks.value, seed[anchor])
                 start, anchor = start[keep], anchor[keep]
                 first = runs(anchor, start)
-                if not len(first):
-                    continue
-                a, b = start[first], start[np.append(first[1:], len(start)) - 1] + length
-                name = mix(run_hash(words, a, b - a) ^ (anchor[first] - a).astype(np.uint64))
-                _, pick, which = np.unique(name, return_index=True, return_inverse=True)
-                lead = seed[anchor[first]][pick]
-                order = np.argsort(lead, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                cuts, stretch = range_cuts(lead[order], power), rank[which]
-                place = np.empty(len(first), _PLACE)
-                place["id"], place["key"] = ids[row + doc[a]], keys[row + doc[a]]
-                place["at"] = a - np.searchsorted(doc, doc[a])
-                by = np.argsort(stretch, kind="stable")
-                place, stretch = place[by], stretch[by]
-                place_cuts = np.searchsorted(stretch, cuts)
-                place["stretch"] = stretch - np.repeat(cuts[:-1], np.diff(place_cuts))
-                a, b = a[pick][order], b[pick][order]
-                out = {"range": [], "words": [], "sizes": [], "places": []}
-                for i in np.flatnonzero(np.diff(cuts)):
-                    rows = slice(cuts[i], cuts[i + 1])
-                    out["range"].append(i)
-                    out["words"].append(b"".join([words[x:y].tobytes() for x, y in zip(a[rows], b[rows], strict=True)]))
-                    out["sizes"].append((b[rows] - a[rows]).astype(np.uint16).tobytes())
-                    out["places"].append(place[place_cuts[i] : place_cuts[i + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["range"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("words", "sizes", "places")]], ["range", "words", "sizes", "places"])
+                if len(first):
+                    a, b = start[first], start[np.append(first[1:], len(start)) - 1] + length
+                    yield Stretches(words, a, b, *_names(words, a, b), seed[anchor[first]], ids[row + doc[a]], keys[row + doc[a]], a - np.searchsorted(doc, doc[a]), length, most)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in stretches(batches):
+            yield x.sent(power)
+
+    def popular(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in stretches(batches):
+            yield x.apart()
 
     def search(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
-        words = np.frombuffer(b"".join(got["words"].to_pylist()), np.uint64)
-        sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got["sizes"].to_pylist()]
-        places = [np.frombuffer(x, _PLACE) for x in got["places"].to_pylist()]
-        base = np.cumsum([0, *map(len, sizes)])
-        size = np.concatenate(sizes)
+        words, size, place, own = received(got, np.uint64)
         at = np.concatenate([[0], np.cumsum(size)])
-        place = np.concatenate(places)
-        own = place["stretch"].astype(np.int64) + np.repeat(base[:-1], list(map(len, places)))
         # Equal stretches of all blocks become one, whose least place stands for it.
-        _, pick, which = np.unique(run_hash(words, at[:-1], size), return_index=True, return_inverse=True)
+        h1, h2 = _names(words, at[:-1], at[1:])
+        pick, which = distinct(h1, h2)
         own = which[own]
         by = np.lexsort((place["at"], place["key"], place["id"], own))
         place, own = place[by], own[by]
@@ -254,30 +238,14 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
         first = np.minimum.reduceat(nth, np.cumsum(his - los) - (his - los)) if len(los) else nth
         mine = np.zeros(len(text) + 1, np.int64)
         mine[found] = nth
-        later = mine[(to[:-1][stretch] + step)[which]] > first[back] if len(which) else np.zeros(0, bool)
-        hit = which[later]
-        whole = (place["id"] != least["id"][own]) | (place["key"] != least["key"][own]) | (place["at"] != least["at"][own])
-        span_id, span_key = [place["id"][whole]], [place["key"][whole]]
-        spans = [np.stack([place["at"][whole], place["at"][whole] + size[own[whole]]], axis=1)]
-        if len(hit):
-            head = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (stretch[hit[1:]] != stretch[hit[:-1]])]))
-            own_at, a, b = stretch[hit[head]], step[hit[head]], step[hit[np.append(head[1:], len(hit)) - 1]] + length
-            from_, to_ = np.searchsorted(own_at, np.arange(len(pick))), np.searchsorted(own_at, np.arange(len(pick)), side="right")
-            rest = np.flatnonzero(~whole)
-            n = (to_ - from_)[own[rest]]
-            r = np.repeat(rest, n)
-            j = np.repeat(from_[own[rest]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            span_id.append(place["id"][r])
-            span_key.append(place["key"][r])
-            spans.append(np.stack([place["at"][r] + a[j], place["at"][r] + b[j]], axis=1))
-        span_id, span_key, spans = np.concatenate(span_id), np.concatenate(span_key), np.concatenate(spans).astype(np.int64)
-        order = np.lexsort((spans[:, 0], span_key, span_id))
-        span_id, span_key, spans = span_id[order], span_key[order], np.ascontiguousarray(spans[order])
-        head = np.flatnonzero(np.concatenate([[True], (span_id[1:] != span_id[:-1]) | (span_key[1:] != span_key[:-1])])) if len(spans) else np.zeros(0, np.int64)
-        cut = np.append(head, len(spans)).astype(np.int32) * 16
-        return pa.table({"id": span_id[head], "key": span_key[head], "spans": pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(cut), pa.py_buffer(spans)])})
-
-    return docs.mapInArrow(emit, "range int, words binary, sizes binary, places binary").groupBy("range").applyInArrow(search, "id long, key long, spans binary")
+        again = mine[(to[:-1][stretch] + step)[which]] > first[back] if len(which) else np.zeros(0, bool)
+        hit = which[again]
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(hit)), bool), (hit[1:] != hit[:-1] + 1) | (stretch[hit[1:]] != stretch[hit[:-1]])]))
+        sub = np.stack([stretch[hit[head]], step[hit[head]], step[hit[np.append(head[1:], len(hit)) - 1]] + length if len(hit) else hit], axis=1)
+        return spread(place, own, least, size, sub, h1[pick], h2[pick], False)
+
+    found = stored(docs.mapInArrow(emit, SENT).groupBy("range").applyInArrow(search, SPREAD), "fm-spans")
+    return all_spans(found, docs.mapInArrow(popular, HOT), False)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WORDS) -> DataFrame:

@@ -30,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, is_marked, keyed, leftmost_minima, merged, range_cuts, repeated_marks, runs, with_spans
+from . import anchors
+from .anchors import HOT, NO_ID, SENT, SPREAD, Stretches, all_spans, distinct, is_marked, keyed, leftmost_minima, merged, received, repeated_marks, runs, spread, with_spans
 from .common import arrow_bytes, mix, shuffle_width, span_hash, stored, table
 
 LENGTH = 50
 SEED = 16
 PIECE = 1 << 20
 
-#: A place of a stretch: which stretch of the batch, whose it is, where it starts.
-_PLACE = np.dtype([("stretch", "<u4"), ("id", "<i8"), ("key", "<i8"), ("at", "<i8")])
+
+def _names(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name the content data[a:b]."""
+    return span_hash(data, a, b, long=4 * LENGTH), span_hash(data, a, b, long=4 * LENGTH, seed=1)
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -46,17 +49,17 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,)).copy()
 
 
-def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, start, end) of pieces of at most PIECE bytes and an overlap, by lots of about PIECE bytes."""
+def pieces(offsets: np.ndarray, length: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, start, end) of pieces of at most ``piece`` bytes and an overlap, by lots of about as many."""
     docs, starts, ends, size = [], [], [], 0
     for i in np.flatnonzero(np.diff(offsets) >= length):
-        for a in range(offsets[i], offsets[i + 1] - length + 1, PIECE):
-            b = min(a + PIECE + length - 1, int(offsets[i + 1]))
+        for a in range(offsets[i], offsets[i + 1] - length + 1, piece):
+            b = min(a + piece + length - 1, int(offsets[i + 1]))
             docs.append(i)
             starts.append(a)
             ends.append(b)
             size += b - a
-            if size >= PIECE:
+            if size >= piece:
                 yield np.array(docs), np.array(starts), np.array(ends)
                 docs, starts, ends, size = [], [], [], 0
     if docs:
@@ -103,13 +106,15 @@ def equal_classes(lines: np.ndarray) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, key, spans) of the bytes that an earlier document has, from (id, key, text)."""
-    spark = docs.sparkSession
+    if not SEED < length <= 7 * 8:
+        raise ValueError(f"strings of {SEED + 1} to 56 bytes, as seven words hold them")
+    spark, piece, most = docs.sparkSession, PIECE, anchors.POPULAR
     power = max(6, min(20, (8 * shuffle_width(spark) - 1).bit_length()))
 
     def seeds(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         data, offsets = arrow_bytes(batch.column(2))
         ids = batch.column(0).to_numpy()
-        for doc, starts, ends in pieces(offsets, length):
+        for doc, starts, ends in pieces(offsets, length, piece):
             block, at = _lot(data, starts, ends)
             seed, _, anchor = anchored(block, at, length)
             anchor = np.unique(anchor)
@@ -119,59 +124,40 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     marks = spark.sparkContext.broadcast(repeated_marks(docs, seeds, power))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Stretches]:
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(2))
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for doc, starts, ends in pieces(offsets, length):
+            for doc, starts, ends in pieces(offsets, length, piece):
                 block, at = _lot(data, starts, ends)
                 seed, start, anchor = anchored(block, at, length)
                 keep = is_marked(marks.value, seed[anchor])
                 start, anchor = start[keep], anchor[keep]
                 first = runs(anchor, start)
-                if not len(first):
-                    continue
-                a, b = start[first], start[np.append(first[1:], len(start)) - 1] + length
-                owner = np.searchsorted(at, a, side="right") - 1
-                # Equal stretches once: by seed, place of the seed and content.
-                name = mix(span_hash(block, a, b) ^ (anchor[first] - a).astype(np.uint64))
-                _, pick, which = np.unique(name, return_index=True, return_inverse=True)
-                lead = seed[anchor[first]][pick]
-                order = np.argsort(lead, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                cuts, stretch = range_cuts(lead[order], power), rank[which]
-                place = np.empty(len(first), _PLACE)
-                place["id"], place["key"], place["at"] = ids[doc[owner]], keys[doc[owner]], starts[owner] - offsets[doc[owner]] + a - at[owner]
-                by = np.argsort(stretch, kind="stable")
-                place, stretch = place[by], stretch[by]
-                place_cuts = np.searchsorted(stretch, cuts)
-                place["stretch"] = stretch - np.repeat(cuts[:-1], np.diff(place_cuts))
-                a, b = a[pick][order], b[pick][order]
-                out = {"range": [], "bytes": [], "sizes": [], "places": []}
-                for i in np.flatnonzero(np.diff(cuts)):
-                    rows = slice(cuts[i], cuts[i + 1])
-                    out["range"].append(i)
-                    out["bytes"].append(b"".join([block[x:y].tobytes() for x, y in zip(a[rows], b[rows], strict=True)]))
-                    out["sizes"].append((b[rows] - a[rows]).astype(np.uint16).tobytes())
-                    out["places"].append(place[place_cuts[i] : place_cuts[i + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["range"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("bytes", "sizes", "places")]], ["range", "bytes", "sizes", "places"])
+                if len(first):
+                    a, b = start[first], start[np.append(first[1:], len(start)) - 1] + length
+                    owner = np.searchsorted(at, a, side="right") - 1
+                    place = starts[owner] - offsets[doc[owner]] + a - at[owner]
+                    yield Stretches(block, a, b, *_names(block, a, b), seed[anchor[first]], ids[doc[owner]], keys[doc[owner]], place, length, most)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in stretches(batches):
+            yield x.sent(power)
+
+    def popular(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in stretches(batches):
+            yield x.apart()
 
     def rank(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
-        data, _ = arrow_bytes(got["bytes"])
-        sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got["sizes"].to_pylist()]
-        places = [np.frombuffer(x, _PLACE) for x in got["places"].to_pylist()]
-        base = np.cumsum([0, *map(len, sizes)])
-        size = np.concatenate(sizes)
+        data, size, place, own = received(got, np.uint8)
         at = np.concatenate([[0], np.cumsum(size)])
-        place = np.concatenate(places)
-        own = place["stretch"].astype(np.int64) + np.repeat(base[:-1], list(map(len, places)))
         # Equal stretches of all blocks become one; the least id that has it stands for it.
-        name = span_hash(data, at[:-1], at[1:])
-        _, pick, which = np.unique(name, return_index=True, return_inverse=True)
+        h1, h2 = _names(data, at[:-1], at[1:])
+        pick, which = distinct(h1, h2)
         own = which[own]
-        least = np.full(len(pick), np.iinfo(np.int64).max)
-        np.minimum.at(least, own, place["id"])
+        order = np.lexsort((place["at"], place["key"], place["id"], own))
+        holder = place[order[np.searchsorted(own[order], np.arange(len(pick)))]]
+        least = holder["id"]
         windows = size[pick] - length + 1
         start = np.repeat(at[pick] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
         stretch = np.repeat(np.arange(len(pick)), windows)
@@ -186,31 +172,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         earlier = np.zeros(len(group), bool)
         earlier[some] = by_group[group[some]] < first[some]
         # Later places of a stretch are covered in full, those of its least id where a class has an earlier one.
-        whole = place["id"] > least[own]
-        span_id, span_key = [place["id"][whole]], [place["key"][whole]]
-        spans = [np.stack([place["at"][whole], place["at"][whole] + size[pick][own[whole]]], axis=1)]
         hit = np.flatnonzero(earlier)
-        if len(hit):
-            head = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (stretch[hit[1:]] != stretch[hit[:-1]])]))
-            of, a, b = stretch[hit[head]], start[hit[head]], start[hit[np.append(head[1:], len(hit)) - 1]] + length
-            off = at[pick][of]
-            lo, hi = np.searchsorted(of, np.arange(len(pick))), np.searchsorted(of, np.arange(len(pick)), side="right")
-            rest = np.flatnonzero(~whole)
-            n = (hi - lo)[own[rest]]
-            row = np.repeat(rest, n)
-            j = np.repeat(lo[own[rest]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            span_id.append(place["id"][row])
-            span_key.append(place["key"][row])
-            spans.append(np.stack([place["at"][row] + a[j] - off[j], place["at"][row] + b[j] - off[j]], axis=1))
-        span_id, span_key, spans = np.concatenate(span_id), np.concatenate(span_key), np.concatenate(spans).astype(np.int64)
-        order = np.lexsort((spans[:, 0], span_key, span_id))
-        span_id, span_key, spans = span_id[order], span_key[order], np.ascontiguousarray(spans[order])
-        head = np.flatnonzero(np.concatenate([[True], (span_id[1:] != span_id[:-1]) | (span_key[1:] != span_key[:-1])])) if len(spans) else np.zeros(0, np.int64)
-        cut = np.append(head, len(spans)).astype(np.int32) * 16
-        return pa.table({"id": span_id[head], "key": span_key[head], "spans": pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(cut), pa.py_buffer(spans)])})
-
-    sent = docs.where(F.octet_length("text") >= length).mapInArrow(emit, "range int, bytes binary, sizes binary, places binary")
-    return sent.groupBy("range").applyInArrow(rank, "id long, key long, spans binary")
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(hit)), bool), (hit[1:] != hit[:-1] + 1) | (stretch[hit[1:]] != stretch[hit[:-1]])]))
+        of, a, b = stretch[hit[head]], start[hit[head]], start[hit[np.append(head[1:], len(hit)) - 1]] + length if len(hit) else hit
+        sub = np.stack([of, a - at[pick][of], b - at[pick][of]], axis=1)
+        return spread(place, own, holder, size[pick], sub, h1[pick], h2[pick], True)
+
+    long = docs.where(F.octet_length("text") >= length)
+    found = stored(long.mapInArrow(emit, SENT).groupBy("range").applyInArrow(rank, SPREAD), "suffix-spans")
+    return all_spans(found, long.mapInArrow(popular, HOT), True)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from siltstone.llm import embedding_dedup, fm_index, jaccard, repetition, site_quality, suffix_dedup
+from siltstone.llm import anchors, embedding_dedup, fm_index, jaccard, repetition, site_quality, suffix_dedup
 from siltstone.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,12 +157,14 @@ def bytes_brute(rows, length=50):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("piece", [64, 1 << 20])
-def test_suffix_dedup_against_brute_force(spark, rng, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "popular"), [(64, 8), (1 << 20, 8), (1 << 20, 1)])
+def test_suffix_dedup_against_brute_force(spark, rng, monkeypatch, piece, popular):
+    monkeypatch.setattr(anchors, "POPULAR", popular)
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     text = lambda n: "".join(rng.choice("abé \n") for _ in range(n))
     parts = [text(60), text(80), text(50), text(49), "a" * 120, "ab" * 60]
     rows = [(i, "".join(rng.choice([*parts, text(rng.randrange(20))]) for _ in range(rng.randrange(6)))) for i in range(80)]
+    rows += [(300, "a" * 3000 + "b" + "a" * 2000), (301, "ab" * 900 + "c"), (299, "a" * 1500), (302, "ba" * 700)]  # runs of one place each
     rows += [(None, parts[0] + parts[1]), (None, None), (7, parts[1] + "zz" + parts[0]), (7, parts[1] + "zz" + parts[0]), (200, None), (201, "")]
     rng.shuffle(rows)
     got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -185,10 +187,13 @@ def words_brute(rows, length=20):
     return sorted(out, key=repr)
 
 
-def test_fm_index_dedup_against_brute_force(spark, rng):
+@pytest.mark.parametrize("popular", [8, 1])
+def test_fm_index_dedup_against_brute_force(spark, rng, monkeypatch, popular):
+    monkeypatch.setattr(anchors, "POPULAR", popular)
     text = lambda n: " ".join(rng.choice(["a", "b", "é", "cc"]) for _ in range(n))
     parts = [text(25), text(40), text(20), text(19), " ".join(["x"] * 60), " ".join(["x", "y"] * 30)]
     rows = [(i, " ".join(rng.choice([*parts, text(rng.randrange(12))]) for _ in range(rng.randrange(6)))) for i in range(80)]
+    rows += [(400, "x " * 500 + "z " + "x " * 300), (401, "x y " * 200 + "q"), (399, "y x " * 90)]
     rows += [(None, parts[0]), (200, None), (201, ""), (7, rows[7][1]), (300, "\t".join(parts[1].split(" ")))]
     rng.shuffle(rows)
     got = fm_index.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
