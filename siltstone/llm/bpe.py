@@ -170,27 +170,31 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ids (array<int>) and n_tokens."""
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, check: bool = False) -> DataFrame:
+    """``docs`` with ids (array<int>) and n_tokens; ``check``: and decoded_sha256, the digest of what the ids decode to."""
     path = path or default_path()
-    keep = [c for c in docs.columns if c not in ("ids", "n_tokens")]
+    added = ["ids", "n_tokens", *(["decoded_sha256"] if check else [])]
+    keep = [c for c in docs.columns if c not in added]
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            start, ids, held = 0, [], 0
+            start, ids, held, digest = 0, [], 0, []
             for i, text in enumerate(batch.column(at)):
                 ids.append(c.encode_array(text.as_py()))
                 held += len(ids[-1])
+                if check:
+                    digest.append(hashlib.sha256(c.decode(ids[-1].tolist()).encode()).hexdigest())
                 if held >= FLUSH or i + 1 == len(batch):
                     sizes = [len(x) for x in ids]
                     lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids)))
                     rows = batch.slice(start, len(ids))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(sizes, pa.int64())], [*keep, "ids", "n_tokens"])
-                    start, ids, held = i + 1, [], 0
+                    more = [lists, pa.array(sizes, pa.int64()), *([pa.array(digest, pa.string())] if check else [])]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*keep, *added])
+                    start, ids, held, digest = i + 1, [], 0, []
 
-    return docs.select(*keep).mapInArrow(run, extended(docs.select(*keep).schema, "ids array<int>, n_tokens long"))
+    return docs.select(*keep).mapInArrow(run, extended(docs.select(*keep).schema, "ids array<int>, n_tokens long" + (", decoded_sha256 string" if check else "")))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
