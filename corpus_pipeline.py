@@ -52,8 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text that is left, with the digest of what they decode to."""
-    decoded = bpe.decode(bpe.encode(docs))
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode(docs, check=True).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
