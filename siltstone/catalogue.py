@@ -13,7 +13,7 @@ from .functions.chunking import ChunkOptions, chunk_files, cut_sql
 from .operators import chunks as C
 from .operators import paths as P
 from .operators import planning as L
-from .sources.files import DOCUMENT_FILES_SQL, PAGE_FILES_SQL, document_files, page_files, table
+from .sources.files import DOCUMENT_FILES_SQL, PAGE_FILES_SQL, document_files, page_files, table, stored
 
 AVG = 256
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,7 +228,8 @@ def verify_summary(spark, sf_dir):
     """Structure of a chunked archive with a damaged index, as one row."""
     from .operators.verify import verify_chunked
 
-    files, c = document_files(spark, sf_dir), document_chunks(spark, sf_dir)
+    # Written once: four aggregates read the references.
+    files, c = document_files(spark, sf_dir), stored(document_chunks(spark, sf_dir).drop("fingerprint"), "refs")
     return verify_chunked(files.select("rel_path", "orig_size"), c.select("rel_path", "chunk_idx", "hash"), _damaged(c))
 
 
@@ -481,14 +482,12 @@ def verify_archives(spark, sf_dir):
 
 @query(with_chunks("SELECT hash, any_value(chunk_len)::BIGINT AS chunk_len FROM chunks GROUP BY hash"))
 def streaming_dedup(spark, sf_dir):
-    import tempfile
     import uuid
 
-    from .sources.files import as_files, document_path
+    from .sources.files import as_files, document_path, scratch_dir
     from .streaming.dedup import dedup_folder
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-stream-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     to_files = lambda d: as_files(d, document_path(), F.encode("text", "UTF-8"))
     return dedup_folder(spark, f"{sf_dir}/documents.parquet*", table(spark, sf_dir, "documents").schema, to_files, f"{base}/out", f"{base}/state", ChunkOptions(AVG))
 

@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-l", "--level", type=int, default=5)
     c.add_argument("--chunk-size", default="0")
     c.add_argument("--chunk-store-size", default="0")
-    c.add_argument("--parts", type=int, default=1)
+    c.add_argument("--parts", type=int, default=0)
     for flag in ("dictionary", "zip", "xz", "gitignore", "dry-run", "quiet", "verbose"):
         c.add_argument(f"--{flag}", action="store_true")
     r = sub.add_parser("restore", aliases=["decompress"])

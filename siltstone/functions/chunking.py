@@ -3,8 +3,8 @@
 A rolling hash takes one gear value per byte, ``fp = (fp << 1) + gear[byte]``; a chunk ends after the
 byte at which the masked hash is 0. Hashing starts at ``min_size``; up to ``avg_size`` the strict mask
 holds, from there to ``max_size`` the loose one. Masks test low bits only, so a place depends on
-the last few bytes: hashes of all places are computed at once, and only the first places of
-each chunk, where the hash has restarted, are corrected.
+the last few bytes: hashes of all places of a block are computed at once, and only the first places of
+each chunk, where the hash has restarted, are corrected. Blocks overlap by what the hash remembers, so their size changes no cut.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_BYTES, MAX_BYTES = 64, 1 << 30
+#: A hash forgets a byte after so many.
+WINDOW = 64
+#: Places that are hashed at once: 20 bytes of memory for each, two blocks at most, however long the value is.
+BLOCK = 1 << 20
 
 
 def gear_table() -> np.ndarray:
@@ -63,7 +67,7 @@ class ChunkOptions:
 
 
 def window_hashes(data: np.ndarray, gear: np.ndarray) -> np.ndarray:
-    """At each place the hash of the last 64 bytes."""
+    """At each place the hash of the last ``WINDOW`` bytes."""
     out = gear[data]
     for step in (1, 2, 4, 8, 16, 32):
         if len(out) > step:
@@ -76,21 +80,45 @@ def cut(data: np.ndarray, options: ChunkOptions, gear: np.ndarray) -> tuple[np.n
     n, o = len(data), options
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = window_hashes(data, gear)
     strict, loose = np.uint64(o.strict), np.uint64(o.loose)
-    at_strict, at_loose = np.flatnonzero(hashes & strict == 0), np.flatnonzero(hashes & loose == 0)
     warm = o.bits + o.normalization
     lengths, prints, p = [], [], 0
+    held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def block(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of a block of places, and the places where the strict and the loose mask hold; the last two blocks are kept."""
+        if i not in held:
+            low = i * BLOCK
+            lead = max(0, low - WINDOW + 1)
+            hashes = window_hashes(data[lead : low + BLOCK], gear)[low - lead :]
+            while len(held) > 1:
+                del held[min(held)]
+            held[i] = hashes, low + np.flatnonzero(hashes & strict == 0), low + np.flatnonzero(hashes & loose == 0)
+        return held[i]
+
+    def hashes_of(low: int, high: int) -> np.ndarray:
+        i = low // BLOCK
+        if high <= (i + 1) * BLOCK:
+            return block(i)[0][low - i * BLOCK : high - i * BLOCK]
+        lead = max(0, low - WINDOW + 1)
+        return window_hashes(data[lead:high], gear)[low - lead :]
 
     def fingerprint(start: int, place: int) -> np.uint64:
         """The hash at ``place`` of what follows ``start``."""
         gone = place - start + 1
-        before = int(hashes[start - 1]) << gone if gone < 64 else 0
-        return np.uint64((int(hashes[place]) - before) & 0xFFFFFFFFFFFFFFFF)
-
-    def first(places: np.ndarray, low: int, high: int) -> int:
-        i = np.searchsorted(places, low)
-        return int(places[i]) if i < len(places) and places[i] < high else -1
+        before = int(hashes_of(start - 1, start)[0]) << gone if gone < WINDOW else 0
+        return np.uint64((int(hashes_of(place, place + 1)[0]) - before) & 0xFFFFFFFFFFFFFFFF)
+
+    def first(mask: int, low: int, high: int) -> int:
+        """The first place from ``low`` on, and before ``high``, where the mask (1: strict, 2: loose) holds."""
+        i = low // BLOCK
+        while i * BLOCK < high:
+            places = block(i)[mask]
+            k = np.searchsorted(places, low)
+            if k < len(places):
+                return int(places[k]) if places[k] < high else -1
+            i += 1
+        return -1
 
     while p < n:
         rest = n - p
@@ -101,15 +129,15 @@ def cut(data: np.ndarray, options: ChunkOptions, gear: np.ndarray) -> tuple[np.n
         limit, start, found = min(rest, o.max_size), p + o.min_size, -1
         end = min(start + warm, p + limit)
         steps = np.arange(1, end - start + 1, dtype=np.uint64)
-        early = hashes[start:end] - (hashes[start - 1] << steps)
+        early = hashes_of(start, end) - (hashes_of(start - 1, start)[0] << steps)
         masks = np.where(np.arange(start, end) < p + o.avg_size, strict, loose)
         hit = np.flatnonzero(early & masks == 0)
         if len(hit):
             found = start + int(hit[0])
         if found < 0:
-            found = first(at_strict, end, p + min(limit, o.avg_size))
+            found = first(1, end, p + min(limit, o.avg_size))
         if found < 0:
-            found = first(at_loose, max(end, p + o.avg_size), p + limit)
+            found = first(2, max(end, p + o.avg_size), p + limit)
         if found < 0:
             found = p + limit - 1
         lengths.append(found - p + 1)

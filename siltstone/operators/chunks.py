@@ -8,10 +8,9 @@ shuffle: first occurrences are a minimum per hash, not a window.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.files import folder_of
+from ..sources.files import folder_of, running_before
 
 
 def guarded_percent(part: Column, whole: Column) -> Column:
@@ -45,17 +44,11 @@ def file_manifest(files: DataFrame, chunks: DataFrame) -> DataFrame:
 def archive_offsets(chunks: DataFrame, size: Column | None = None) -> DataFrame:
     """First occurrences with the offset of each in the data section, in the order of (folder, rel_path, chunk_idx).
 
-    An offset is the sum within the file, of the files before in the folder, and of the folders
-    before: windows see a file's chunks, a folder's files, and one row for each folder.
+    Offsets are running sums over ranges of that order: a folder with a third of all files spreads over many tasks.
     """
     first = first_occurrences(chunks).withColumn("compressed_size", size if size is not None else chunk_estimate(F.col("chunk_len")))
-    before = lambda value, over: F.coalesce(F.sum(value).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    files = first.groupBy("rel_path").agg(F.sum("compressed_size").alias("bytes")).withColumn("folder", folder_of("rel_path"))
-    folders = files.groupBy("folder").agg(F.sum("bytes").alias("bytes"))
-    folders = folders.select("folder", before("bytes", W.orderBy("folder")).alias("folder_start"))
-    files = files.withColumn("file_start", before("bytes", W.partitionBy("folder").orderBy("rel_path"))).join(folders, "folder")
-    out = first.withColumn("inside", before("compressed_size", W.partitionBy("rel_path").orderBy("chunk_idx"))).join(files.select("rel_path", (F.col("file_start") + F.col("folder_start")).alias("start")), "rel_path")
-    return out.select("hash", "rel_path", "chunk_idx", "chunk_len", "compressed_size", (F.col("start") + F.col("inside")).alias("data_offset"))
+    placed = running_before(first.withColumn("folder", folder_of("rel_path")), ["folder", "rel_path", "chunk_idx"], "compressed_size", "data_offset")
+    return placed.select("hash", "rel_path", "chunk_idx", "chunk_len", "compressed_size", "data_offset")
 
 
 def dedup_stats(chunks: DataFrame, capacity: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ def hierarchy(path: Column | str) -> Column:
 
 
 def glob_regex(pattern: str) -> tuple[str, bool, bool] | None:
-    """(regex over a path relative to the rule file, negated, for directories only), or None for a comment or blank line."""
+    """(regex over a path relative to the rule file, negated, for directories only), or None for a comment, a blank line, or a pattern that is none, such as [z-a]."""
     line = pattern.rstrip("\r\n")
     line = re.sub(r"(?<!\\) +$", "", line)
     if not line or line.startswith("#"):
@@ -50,7 +50,12 @@ def glob_regex(pattern: str) -> tuple[str, bool, bool] | None:
             out, i = out + "[" + ("^" + body[1:] if body[:1] == "!" else body).replace("\\", "\\\\") + "]", end + 1
         else:
             out, i = out + re.escape(line[i]), i + 1
-    return ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if dir_only else "(?:/.*)?$"), negated, dir_only
+    regex = ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if dir_only else "(?:/.*)?$")
+    try:
+        re.compile(regex)
+    except re.error:
+        return None
+    return regex, negated, dir_only
 
 
 def ignore_rules(rule_files: dict[str, str]) -> list[tuple]:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import xz_estimate, zip_estimate
-from ..sources.files import stored
+from ..sources.files import running_before, stored
 from .chunks import chunk_estimate
 
 MIN_DICT, MID_DICT, MAX_DICT = 32 << 10, 64 << 10, 112 << 10
@@ -75,15 +75,12 @@ def trained_size(sample_bytes: Column, samples: Column, dict_size: Column) -> Co
 def sample_plan(files: DataFrame, params: DataFrame) -> DataFrame:
     """(rel_path, sample_bytes) in the order of (folder, rel_path), until the budget is reached; the file that crosses it stays.
 
-    The running sum is kept by folder and over folders' sums, so no window holds all files.
+    The running sum is taken over ranges of that order, so no window holds all files, nor a folder's.
     """
     sized = files.select("folder", "rel_path", "orig_size").crossJoin(F.broadcast(params))  # one row
     sized = sized.withColumn("sample_bytes", F.least("orig_size", "sample_size")).where(F.col("sample_bytes") >= MIN_SAMPLE)
-    sums = sized.groupBy("folder").agg(F.sum("sample_bytes").alias("b"))
-    before = lambda value, over: F.coalesce(F.sum(value).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("folder", before("b", W.orderBy("folder")).alias("folders_before"))
-    placed = sized.withColumn("files_before", before("sample_bytes", W.partitionBy("folder").orderBy("rel_path"))).join(sums, "folder")
-    return placed.where(F.col("folders_before") + F.col("files_before") < F.col("total_samples")).select("rel_path", "sample_bytes")
+    placed = running_before(sized, ["folder", "rel_path"], "sample_bytes", "before")
+    return placed.where(F.col("before") < F.col("total_samples")).select("rel_path", "sample_bytes")
 
 
 def dry_run(files: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

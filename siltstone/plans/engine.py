@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from ..operators import paths as P
 from ..operators.chunks import dedup_stats, guarded_percent, reject_duplicate_paths
 from ..operators.planning import dictionary_params, dry_run, sample_plan, trained_size
 from ..operators.verify import ratio_columns, verify_entries
-from ..sources.archives import load_archives, write_archive
+from ..sources.archives import ENDINGS, load_archives, write_archive
 from ..sources.files import head_sample, scan_directory, scan_list
-from .options import CompressOptions, OptionError, RestoreOptions, VerifyOptions
+from .options import PART_BYTES, CompressOptions, OptionError, RestoreOptions, VerifyOptions
 
 
 class Engine:
@@ -53,8 +54,10 @@ class Engine:
         else:
             extra = {"average": options.chunk_size} if options.archive == "2" else {"dictionary": self.dictionary(files)} if options.archive == "3" else {}
             base = os.path.abspath(options.output_path) if "://" not in options.output_path else options.output_path
-            write_archive(files, base, options.archive, options.parts, level=options.level, **extra)
-            estimate = self.spark.read.format("binaryFile").load(f"{base}*").agg(F.sum("length").alias("archive_bytes"))
+            parts = options.parts or max(1, -(-totals.first()["orig_bytes"] // PART_BYTES))
+            write_archive(files, base, options.archive, parts, level=options.level, **extra)
+            named = rf"{re.escape(os.path.basename(base))}(_\d{{2,}})?{re.escape(ENDINGS[options.archive])}"
+            estimate = self.spark.read.format("binaryFile").load(f"{base}*").where(F.element_at(F.split("path", "/"), -1).rlike(f"^{named}$")).agg(F.sum("length").alias("archive_bytes"))
         out = totals.crossJoin(F.broadcast(estimate))  # one row each
         if chunks is not None:
             capacity = options.chunk_store_mb * (1 << 20) // (options.chunk_size + 120)
@@ -64,16 +67,17 @@ class Engine:
     def restore(self, options: RestoreOptions) -> DataFrame:
         """Write all entries below the output folder; (path, target, status) of each, nothing outside it."""
         options = options.checked()
-        base = os.path.abspath(options.output_path)
+        base = options.output_path if "://" in options.output_path else f"file://{os.path.abspath(options.output_path)}"
+        root = _located(base)[1]
         entries = load_archives(self.spark, options.input_path).where("path IS NOT NULL")
-        placed = entries.withColumn("target", P.safe_join(base, F.col("path")))
+        placed = entries.withColumn("target", P.safe_join(root, F.col("path")))
         overwrite = options.overwrite
 
         def write(batches):
             import pyarrow as pa
             from pyarrow import fs
 
-            local = fs.LocalFileSystem()
+            system = _located(base)[0]
             for batch in batches:
                 status = []
                 for target, content, error in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -81,13 +85,13 @@ class Engine:
                         status.append("UNSAFE_PATH")
                     elif error:
                         status.append(error)
-                    elif not overwrite and local.get_file_info(target).type != fs.FileType.NotFound:
+                    elif not overwrite and system.get_file_info(target).type != fs.FileType.NotFound:
                         status.append("TARGET_EXISTS")
                     else:
-                        local.create_dir(target.rpartition("/")[0], recursive=True)
-                        with local.open_output_stream(target + ".part") as out:
+                        system.create_dir(target.rpartition("/")[0], recursive=True)
+                        with system.open_output_stream(target + ".part") as out:
                             out.write(content)
-                        local.move(target + ".part", target)  # a retried task leaves whole files only
+                        system.move(target + ".part", target)  # a retried task leaves whole files only
                         status.append("OK")
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string())], ["path", "target", "status"])
 
@@ -101,11 +105,27 @@ class Engine:
         return out.withColumns(ratio_columns(F.col("orig_bytes"), F.col("comp_bytes")))
 
 
+def _located(uri: str) -> tuple:
+    """The file system of a URI, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def _exists(name: str) -> bool:
+    if "://" not in name:
+        return os.path.exists(name)
+    from pyarrow import fs
+
+    system, path = _located(name)
+    return system.get_file_info(path).type != fs.FileType.NotFound
+
+
 def resolve_input(name: str) -> str:
     """What a name without a known ending stands for: part 1 of a ZIP, a ZIP, else an archive."""
     if name.endswith((".gdelta", ".zip", ".xz")):
         return name
     for ending in ("_01.zip", ".zip"):
-        if os.path.exists(name + ending):
+        if _exists(name + ending):
             return name + ending
     return name + ".gdelta"

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 MIN_CHUNK, MAX_CHUNK = 4 << 10, 64 << 20
 
 
+#: Bytes of files that a part of an archive holds if nothing else is said: what a task can hold.
+PART_BYTES = 256 << 20
+
+
 class OptionError(ValueError):
     """An option or a combination that is not allowed; ``code`` names it."""
 
@@ -55,7 +59,7 @@ class CompressOptions:
     use_xz: bool = False
     use_gitignore: bool = False
     dry_run: bool = False
-    parts: int = 1
+    parts: int = 0  # 0: one for each PART_BYTES
     quiet: bool = False
     verbose: bool = False
 

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FILE_COLUMNS = ["rel_path", "folder", "orig_size", "content"]
@@ -43,12 +44,35 @@ def spread(df: DataFrame, least: int = 16 << 20) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir``, or a temporary folder where that is absent, and read it back."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-")
-    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where there are no other machines."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (shared or tempfile.mkdtemp(prefix="siltstone-")).rstrip("/")
+
+
+def running_before(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before, in ``order``.
+
+    Rows are dealt by ranges of the order and summed within their range; only a row for each range meets in a window. The ordered
+    table is written before it is summed, so that retries can't change it.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rb_at", F.monotonically_increasing_id())
+    dealt = stored(dealt.withColumn("_rb_part", F.shiftright("_rb_at", 33)), "running")
+    up_to = lambda over: F.coalesce(F.sum(value).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = dealt.groupBy("_rb_part").agg(F.sum(value).alias(value))
+    ranges = ranges.select("_rb_part", up_to(W.orderBy("_rb_part")).alias("_rb_before"))
+    inside = dealt.withColumn(name, up_to(W.partitionBy("_rb_part").orderBy("_rb_at")))
+    out = inside.join(F.broadcast(ranges), "_rb_part")  # a row for each range
+    return out.withColumn(name, F.col(name) + F.col("_rb_before")).drop("_rb_part", "_rb_at", "_rb_before")
+
+
 def document_path() -> Column:
     return F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
 

@@ -1,7 +1,7 @@
 """Incremental deduplication with Structured Streaming.
 
 State is one hash for each distinct chunk, kept by its shuffle partition, so each key has one
-writer. There is no event time: a chunk seen once counts for ever, and the state grows
+writer, on disk in RocksDB, not in the executors' heap. There is no event time: a chunk seen once counts for ever, and the state grows
 with distinct chunks; a watermark would change results.
 """
 
@@ -14,6 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.chunking import ChunkOptions, chunk_files
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def stream_chunks(files: DataFrame, options: ChunkOptions) -> DataFrame:
     """Chunks of a stream of (rel_path, content), with totals as observed metrics of each batch."""
     chunks = chunk_files(files, options, data=False)
@@ -33,5 +36,10 @@ def run_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def dedup_folder(spark: SparkSession, files_path: str, schema: str, to_files, out: str, checkpoint: str, options: ChunkOptions) -> DataFrame:
     """Distinct chunks of all Parquet files in a folder, new files adding to what ``out`` holds."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(files_path)
-    run_to(distinct_chunks(stream_chunks(to_files(stream), options)), out, checkpoint).awaitTermination()
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run_to(distinct_chunks(stream_chunks(to_files(stream), options)), out, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
     return spark.read.schema("hash string, chunk_len long").parquet(out)

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from siltstone.functions import chunking
 from siltstone.functions.chunking import ChunkOptions, cut, gear_table
 
 GEAR = gear_table()
@@ -66,3 +67,25 @@ def test_options_are_checked(bad):
 
 def test_bits_round_half_up():
     assert [ChunkOptions(a).bits for a in (256, 300, 363, 1024)] == [8, 8, 9, 10]
+
+
+@pytest.mark.parametrize("block", [64, 100, 1000])
+def test_blocks_change_no_cut(monkeypatch, block):
+    data = np.random.default_rng(4).integers(0, 256, 20_000).astype(np.uint8)
+    data[5000:9000] = 7
+    o = ChunkOptions(256)
+    want = [x.tolist() for x in cut(data, o, GEAR)]
+    monkeypatch.setattr(chunking, "BLOCK", block)
+    assert [x.tolist() for x in cut(data, o, GEAR)] == want
+    assert list(zip(*want, strict=True)) == scalar(data.tobytes(), o)
+
+
+def test_memory_does_not_grow_with_the_value():
+    import tracemalloc
+
+    data = np.random.default_rng(5).integers(0, 256, 24 << 20).astype(np.uint8)
+    tracemalloc.start()
+    assert cut(data, ChunkOptions(65536), GEAR)[0].sum() == len(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20

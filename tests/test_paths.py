@@ -68,3 +68,7 @@ def test_nested_rule_file_decides_rows_of_the_query(spark, tmp_path):
     pages = [(i, f"http://{p}?q=1", "") for i, p in enumerate(want)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert {r["rel_path"]: r["ignored"] for r in QUERIES["gitignore_filter"](spark, str(tmp_path)).collect()} == want
+
+
+def test_patterns_that_are_none_are_skipped():
+    assert [r[2] for r in P.ignore_rules({"": "*[z-a]*\n*.log\n[\n"})] == ["*.log", "["]
