@@ -26,6 +26,9 @@ ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": embedding_dedup.SQL,
     "op3_ngram_jaccard": jaccard.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op5_quality_rules": repetition.SQL,
     "op6_mixing": mixing.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
+    "op9_language_id": language_id.SQL,
     "op10_fm_index": fm_index.SQL,
 }

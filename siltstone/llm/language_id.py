@@ -179,3 +179,30 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: CRC-32 bit by bit; letters by their Unicode class. Distances are sums over the 400 most frequent n-grams of each text.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, string_split(' ' || ltrim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')), '') AS c,
+    xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384::BIGINT * (r & 1)) END)) % 3 = 1 AS held_out
+  FROM documents
+), i AS (SELECT doc_id, lang, held_out, c, unnest(range(1, len(c) + 1)) AS i FROM d),
+g AS (
+  SELECT doc_id, lang, held_out, unnest([
+    CASE WHEN c[i] <> ' ' THEN unicode(c[i])::BIGINT END,
+    CASE WHEN i + 1 <= len(c) THEN unicode(c[i])::BIGINT * 2097152 + unicode(c[i+1]) END,
+    CASE WHEN i + 2 <= len(c) AND c[i+1] <> ' ' THEN (unicode(c[i])::BIGINT * 2097152 + unicode(c[i+1])) * 2097152 + unicode(c[i+2]) END]) AS x
+  FROM i
+), n AS MATERIALIZED (SELECT doc_id, lang, held_out, x, count(*) AS n FROM g WHERE x IS NOT NULL GROUP BY ALL),
+profile AS MATERIALIZED (
+  SELECT lang, x, r FROM (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, x) - 1 AS r FROM n WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, x) WHERE r < 400
+), own AS (SELECT * FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, x) - 1 AS r FROM n) WHERE r < 400),
+a AS (
+  SELECT o.doc_id, l.lang, count(*) AS k, sum(CASE WHEN p.r IS NULL THEN 400 ELSE least(abs(p.r - o.r), 400) END) AS away
+  FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.x = o.x GROUP BY o.doc_id, l.lang
+), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY away, lang) AS nth FROM a) WHERE nth = 1)
+SELECT d.doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1.0::DOUBLE - away::DOUBLE / (400 * k)::DOUBLE, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN best b ON d.doc_id = b.doc_id
+"""

@@ -146,3 +146,31 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+#: Words that repeated runs of ten or more cover are those that repeated windows of ten cover; a longest run is the longest diagonal of equal places.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS x
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (1), (2), (3), (10)) v(k))
+), m AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, x) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, k, count(DISTINCT i + j) AS n FROM m, range(10) r(j) WHERE k IN (3, 10) AND j < k GROUP BY doc_id, k),
+p AS (SELECT a.doc_id, b.i - a.i AS away, a.i FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i WHERE a.k = 3 AND b.k = 3),
+q AS (SELECT doc_id, away, i - row_number() OVER (PARTITION BY doc_id, away ORDER BY i) AS run FROM p),
+l AS (
+  SELECT doc_id, max(n) AS longest FROM (
+    SELECT doc_id, count(*) + 2 AS n FROM q GROUP BY doc_id, away, run UNION ALL SELECT doc_id, k FROM m WHERE k < 3
+  ) GROUP BY doc_id
+), o AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(e.n, 0)::BIGINT AS n_covered_words, coalesce(longest, 0)::BIGINT AS longest_repeat
+  FROM d LEFT JOIN (SELECT * FROM c WHERE k = 3) c ON d.doc_id = c.doc_id LEFT JOIN (SELECT * FROM c WHERE k = 10) e ON d.doc_id = e.doc_id LEFT JOIN l ON d.doc_id = l.doc_id
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 10 * n_covered_words <= 3 * n_words AND longest_repeat <= 30 AS kept
+FROM o
+"""

@@ -209,3 +209,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, t[p+1:p+50] AS x FROM (SELECT doc_id, unnest(range(n - 49)) AS p, t FROM b WHERE n >= 50)),
+m AS (SELECT x, min(doc_id) AS first FROM w GROUP BY x HAVING min(doc_id) < max(doc_id)),
+e AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS opens FROM w JOIN m ON w.x = m.x WHERE first < doc_id),
+r AS (SELECT doc_id, p, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM e),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM r GROUP BY doc_id, k),
+g AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, list_append(list(a ORDER BY a), NULL) AS a, list_prepend(0, list(z ORDER BY a)) AS z FROM s GROUP BY doc_id)
+SELECT b.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN spans IS NULL THEN t ELSE unhex(array_to_string(list_transform(range(1, spans + 2), lambda j: hex(t[z[j]+1:coalesce(a[j], n)])), '')) END) AS kept_sha256
+FROM b LEFT JOIN g ON b.doc_id = g.doc_id
+"""
