@@ -25,6 +25,8 @@ _OWN_DIRS: dict[str, str] = {}
 
 #: Bytes of text that a kernel works on at once; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
+#: Size of an Arrow batch; a longer row is a batch of its own.
+BATCH = "4m"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -51,6 +53,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     The shuffle files that led to it go with the write, so only tables and the step at work take disk.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
@@ -81,7 +84,13 @@ def extended(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to kernels by ``BATCH``, not by 10,000 rows: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
