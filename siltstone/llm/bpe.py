@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import extended, table
+from .common import bounded_batches, extended, table
 
 LEAF = 128
 #: With more leaves than this they are encoded by the library's threads.
@@ -173,6 +173,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, check: bool = False) -> DataFrame:
     """``docs`` with ids (array<int>) and n_tokens; ``check``: and decoded_sha256, the digest of what the ids decode to."""
     path = path or default_path()
+    bounded_batches(docs.sparkSession)
     added = ["ids", "n_tokens", *(["decoded_sha256"] if check else [])]
     keep = [c for c in docs.columns if c not in added]
     at = keep.index(text_col)

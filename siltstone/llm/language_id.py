@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import extended, table, text_blocks
+from .common import bounded_batches, extended, table, text_blocks
 
 TOP = 400
 MAX_N = 3
-#: Learned n-grams are counted per block; a block of one language has at most so many bytes.
+#: N-grams are counted and scored by blocks of so many bytes, or of one longer text: about 100 bytes of memory for each.
+BLOCK = 1 << 19
 _LOW: list[np.ndarray] = []
 
 
@@ -85,7 +86,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
         for lang in dict.fromkeys(langs):
             texts = batch.column(1).filter(pa.array(langs == lang))
-            for _, _, data, offsets in text_blocks(texts):
+            for _, _, data, offsets in text_blocks(texts, BLOCK):
                 if len(data):
                     gram, n = np.unique(_grams(*_code_points(data, offsets))[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
@@ -94,6 +95,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP) -> dict[str, np.ndarray]:
     """The ``top`` n-gram codes of each language, most frequent first, over all rows of ``texts``."""
     rows = texts.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    bounded_batches(texts.sparkSession)
     counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))).where(F.col("rank") <= top)
     out: dict[str, list] = {}
@@ -132,7 +134,7 @@ class Scorer:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.names:
             return names, scores
-        for start, _, data, offsets in text_blocks(texts, 1 << 19):
+        for start, _, data, offsets in text_blocks(texts, BLOCK):
             if not len(data):
                 continue
             gram, doc = _grams(*_code_points(data, offsets))
@@ -148,6 +150,7 @@ class Scorer:
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", top: int = TOP, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with lang_pred and score, named as in ``out``; columns of these names are replaced."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(profiles)
     keep = [c for c in docs.columns if c not in out]
     schema = extended(docs.select(*keep).schema, f"{out[0]} string, {out[1]} double")
