@@ -26,6 +26,8 @@ def leftmost_minima(seeds: np.ndarray, width: int) -> np.ndarray:
     n = len(seeds) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    if len(seeds) >> 28:
+        raise ValueError("a text of 2^28 words or more")
     low = np.uint64((1 << 28) - 1)
     packed = (mix(seeds) & ~low) | np.arange(len(seeds), dtype=np.uint64)
     step = 1

@@ -18,7 +18,8 @@ once, at the end.
 
 Cases: null or empty text, or under 20 words: nothing removed. Null doc_id comes first. Rows that share doc_id
 and text are one document, and fare alike; rows that share only the doc_id are ordered by the text's digest. Empty
-table: no rows. Extra columns are ignored.
+table: no rows. Extra columns are ignored, whatever their names. Very long texts are blocks of their own, about 60 bytes of memory for each
+byte; one of 2^28 words or more is an error.
 """
 
 from __future__ import annotations

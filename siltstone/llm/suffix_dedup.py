@@ -1,23 +1,26 @@
 """Suffix-array dedup: each byte that a 50-byte string of an earlier document covers is removed.
 
-The suffixes that can matter are ranked by distributed prefix doubling:
+Windows that can matter are ranked at 16, 32 and 50 bytes inside ranges of seeds. This is not distributed prefix doubling, in which Spark
+would sort (position, rank, rank at the offset): that needs a row for each window, more than the disk allows; README has the figures.
 
 -   Rank at 16 bytes. Every window of 50 bytes has an anchor, its leftmost least 16-byte seed. Seeds are
     sorted by ranges of their hash, a range to a group; those that one document alone has are unique
     and drop out (kept as a 16 MB bit table, whose collisions only keep more).
 -   Positions of the windows that are left go, with the bytes that they reach, to the range of their anchor's
-    seed, where all windows equal to them are too. There pairs of (rank, rank at the
-    offset) are sorted at offsets 16 and 32, and reranked; what has become unique drops
-    out at each offset, and the last one, cut at 50, is past the threshold.
+    seed, where all windows equal to them are too. There pairs of (rank, bytes at the
+    offset) are sorted by NumPy for 16, 32 and 50 bytes, and reranked; what has become unique drops
+    out at each step.
 -   A class of equal windows gives the least doc_id, and every window of a later document is a span.
 
 Runs of windows with one anchor travel as one stretch of bytes. Equal stretches of a block of text go as one
-with a list of their places, so a passage that a third of all documents share costs its bytes once a block.
+with a list of their places, so a passage that a third of all documents share costs its bytes once a block; where the
+list is long only its least place goes with the bytes, and the others join the verdict by the stretch's name.
 Spans join the texts by doc_id once, at the end.
 
 Cases: null or empty text: 0 bytes, nothing removed, the digest of nothing. Texts under 50 bytes stay. Rows
 that share a doc_id never remove from each other, being no smaller; a null doc_id comes
-before all. Very long texts are worked on in pieces that overlap. Empty table: no rows.
+before all. Very long texts are worked on in pieces that overlap. Runs of one character or period are two places each.
+Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
