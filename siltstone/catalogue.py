@@ -444,7 +444,7 @@ def dict_vs_plain_sizes(spark, sf_dir):
     return both.groupBy(F.substring_index("folder", "/", 1).alias("lang")).agg(F.count("*").alias("files"), F.sum(F.octet_length("plain")).alias("plain_bytes"), F.sum(F.octet_length("packed")).alias("dict_bytes"))
 
 
-def _archived(files: DataFrame, archive: str, parts: int = 8) -> DataFrame:
+def _archived(files: DataFrame, archive: str, parts: int = 8, **options: str) -> DataFrame:
     """(path, content) of archives that hold ``files``, a part for each of so many groups of folders."""
     import pyarrow as pa
 
@@ -452,7 +452,7 @@ def _archived(files: DataFrame, archive: str, parts: int = 8) -> DataFrame:
 
     def write(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         pairs = sorted(zip(rows["rel_path"].to_pylist(), rows["content"].to_pylist(), strict=True))
-        return pa.table({"path": [f"part_{key[0].as_py():02d}"], "content": pa.array([WRITERS[archive](pairs, {"average": "4096"})], pa.binary())})
+        return pa.table({"path": [f"part_{key[0].as_py():02d}"], "content": pa.array([WRITERS[archive](pairs, {"average": "4096"} | options)], pa.binary())})
 
     keyed = files.select((F.pmod(F.xxhash64("rel_path"), F.lit(parts)) + 1).alias("part"), "rel_path", "content")
     return keyed.groupBy("part").applyInArrow(write, "path string, content binary")
@@ -460,9 +460,12 @@ def _archived(files: DataFrame, archive: str, parts: int = 8) -> DataFrame:
 
 def _archive_roundtrip(archive: str):
     def run(spark, sf_dir):
+        from .plans.engine import Engine
         from .sources.archives import read_entries
 
-        return read_entries(_archived(document_files(spark, sf_dir), archive)).select(F.col("path").alias("rel_path"), "original_size", F.sha2("content", 256).alias("digest"), "data_valid", "error")
+        files = document_files(spark, sf_dir)
+        options = {"dictionary": Engine(spark).dictionary(files).hex()} if archive == "3" else {}
+        return read_entries(_archived(files, archive, **options)).select(F.col("path").alias("rel_path"), "original_size", F.sha2("content", 256).alias("digest"), "data_valid", "error")
 
     return run
 
