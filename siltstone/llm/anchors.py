@@ -8,13 +8,14 @@ out windows, and equal windows meet where their seed is sent.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import arrow_bytes, mix
 
 #: Bits of the filter: 16 MB whatever the input. Where it fills up, it passes more; nothing is lost.
 MARK_BITS = 27
@@ -103,7 +104,9 @@ PLACE = np.dtype([("stretch", "<u4"), ("hot", "u1"), ("id", "<i8"), ("key", "<i8
 #: A stretch with more places in a block than this is popular: the block sends the least of them with it.
 POPULAR = 8
 SENT = "range int, data binary, sizes binary, places binary"
-HOT = "h1 long, h2 long, size long, id long, key long, at long, to long"
+#: A row of places that travel apart has at most so many of one content in one block, 32 bytes each; more are more rows.
+APART = 1 << 12
+HOT = "h1 long, h2 long, size long, places binary"
 SPREAD = "id long, key long, spans binary, h1 long, h2 long, at long, size long"
 
 
@@ -168,12 +171,16 @@ class Stretches:
             out["places"].append(place[place_cuts[i] : place_cuts[i + 1]].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out["range"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("data", "sizes", "places")]], ["range", "data", "sizes", "places"])
 
-    def apart(self) -> pa.RecordBatch:
-        """The places of popular contents, a row each."""
+    def apart(self, most: int) -> pa.RecordBatch:
+        """All places of popular contents: a row for a content, or for each ``most`` places of it."""
         some = np.flatnonzero(self.popular[self.stretch])
         of = self.stretch[some]
-        own = [np.ascontiguousarray(self.place[k][some]) for k in ("id", "key", "at", "to")]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.h1[of].view(np.int64), self.h2[of].view(np.int64), self.b[of] - self.a[of], *own)], ["h1", "h2", "size", "id", "key", "at", "to"])
+        places = np.stack([self.place[k][some] for k in ("id", "key", "at", "to")], axis=1).astype(np.int64)
+        nth = np.arange(len(of)) - np.searchsorted(of, of)
+        head = np.flatnonzero(nth % most == 0)
+        data = [places[x:y].tobytes() for x, y in pairwise([*head, len(of)])]
+        of = of[head]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (self.h1[of].view(np.int64), self.h2[of].view(np.int64), self.b[of] - self.a[of])), pa.array(data, pa.binary())], ["h1", "h2", "size", "places"])
 
 
 def received(got: pa.Table, dtype: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,54 +200,60 @@ def later(place, least, by_id: bool):
     return (place["id"] != least["id"]) | (place["key"] != least["key"]) | (place["at"] != least["at"])
 
 
-def spread(place: np.ndarray, own: np.ndarray, least: np.ndarray, size: np.ndarray, sub: np.ndarray, h1: np.ndarray, h2: np.ndarray, by_id: bool) -> pa.Table:
-    """(id, key, spans) of all places, and what the places of popular contents need to know: their content's least place and covered parts.
-
-    ``sub`` has (content, start, end) of the covered parts, in the order of contents.
-    """
-    whole = later(place, least[own], by_id)
+def by_text(place, own: np.ndarray, whole: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(id, key, spans), a row for each text of ``place``: whole contents, or their covered parts sub[lo:hi] of (start, end)."""
     ids, keys = [place["id"][whole]], [place["key"][whole]]
     spans = [np.stack([place["at"][whole], place["to"][whole] + size[own[whole]]], axis=1)]
-    lo, hi = np.searchsorted(sub[:, 0], np.arange(len(size))), np.searchsorted(sub[:, 0], np.arange(len(size)), side="right")
     rest = np.flatnonzero(~whole)
     n = (hi - lo)[own[rest]]
     row, j = np.repeat(rest, n), np.repeat(lo[own[rest]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     ids.append(place["id"][row])
     keys.append(place["key"][row])
-    spans.append(np.stack([place["at"][row] + sub[j, 1], place["to"][row] + sub[j, 2]], axis=1))
+    spans.append(np.stack([place["at"][row] + sub[j, 0], place["to"][row] + sub[j, 1]], axis=1))
     ids, keys, spans = np.concatenate(ids), np.concatenate(keys), np.concatenate(spans).astype(np.int64)
     order = np.lexsort((spans[:, 0], keys, ids))
     ids, keys, spans = ids[order], keys[order], np.ascontiguousarray(spans[order])
     head = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])) if len(spans) else np.zeros(0, np.int64)
     cut = np.append(head, len(spans)).astype(np.int32) * 16
+    return ids[head], keys[head], pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(cut), pa.py_buffer(spans)])
+
+
+def spread(place: np.ndarray, own: np.ndarray, least: np.ndarray, size: np.ndarray, sub: np.ndarray, h1: np.ndarray, h2: np.ndarray, by_id: bool) -> pa.Table:
+    """(id, key, spans) of all places, and what the places of popular contents need to know: their content's least place and covered parts.
+
+    ``sub`` has (content, start, end) of the covered parts, in the order of contents.
+    """
+    lo, hi = np.searchsorted(sub[:, 0], np.arange(len(size))), np.searchsorted(sub[:, 0], np.arange(len(size)), side="right")
+    ids, keys, spans = by_text(place, own, later(place, least[own], by_id), size, lo, hi, sub[:, 1:])
     some = np.unique(own[place["hot"] == 1])
     parts = [np.ascontiguousarray(sub[lo[i] : hi[i], 1:]).astype(np.int64).tobytes() for i in some]
-    none = pa.nulls(len(head), pa.int64())
+    none = pa.nulls(len(ids), pa.int64())
     both = lambda x, y: pa.concat_arrays([x, pa.array(np.ascontiguousarray(y), pa.int64())])
     return pa.table({
-        "id": both(pa.array(ids[head]), least["id"][some]), "key": both(pa.array(keys[head]), least["key"][some]),
-        "spans": pa.concat_arrays([pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(cut), pa.py_buffer(spans)]), pa.array(parts, pa.binary())]),
+        "id": both(pa.array(ids), least["id"][some]), "key": both(pa.array(keys), least["key"][some]),
+        "spans": pa.concat_arrays([spans, pa.array(parts, pa.binary())]),
         "h1": both(none, h1[some].view(np.int64)), "h2": both(none, h2[some].view(np.int64)), "at": both(none, least["at"][some]), "size": both(none, size[some]),
     })
 
 
 def all_spans(found: DataFrame, hot: DataFrame, by_id: bool) -> DataFrame:
-    """(id, key, spans) from the rows of ``spread``, and of the places that travel apart. Their join is one that Spark can split by skew."""
+    """(id, key, spans) from the rows of ``spread``, and of the places that travel apart.
+
+    ``spread`` gives each content once, so the join makes as many rows as ``hot`` has. It is one that Spark can split by skew.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = {k: batch.column(k).to_numpy() for k in ("size", "id", "key", "at", "to", "least_id", "least_key", "least_at")}
-            whole = later(x, {k: x[f"least_{k}"] for k in ("id", "key", "at")}, by_id)
-            spans = []
-            for i, part in enumerate(batch.column("parts")):
-                if whole[i]:
-                    spans.append(np.array([x["at"][i], x["to"][i] + x["size"][i]]).tobytes())
-                else:
-                    spans.append((np.frombuffer(part.as_buffer(), np.int64).reshape(-1, 2) + [x["at"][i], x["to"][i]]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(spans, pa.binary())], ["id", "key", "spans"])
+            data, cut = arrow_bytes(batch.column("places"))
+            x = dict(zip(("id", "key", "at", "to"), data.view(np.int64).reshape(-1, 4).T, strict=True))
+            own = np.repeat(np.arange(len(batch)), np.diff(cut) // 32)
+            least = {k: batch.column(f"least_{k}").to_numpy()[own] for k in ("id", "key", "at")}
+            parts, at = arrow_bytes(batch.column("parts"))
+            got = by_text(x, own, later(x, least, by_id), batch.column("size").to_numpy(), at[:-1] // 16, at[1:] // 16, parts.view(np.int64).reshape(-1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), got[2]], ["id", "key", "spans"])
 
     least = found.where("h1 IS NOT NULL").select("h1", "h2", F.col("id").alias("least_id"), F.col("key").alias("least_key"), F.col("at").alias("least_at"), F.col("spans").alias("parts"))
-    placed = hot.join(least, ["h1", "h2"]).drop("h1", "h2").mapInArrow(place, "id long, key long, spans binary").where("octet_length(spans) > 0")
+    placed = hot.join(least, ["h1", "h2"]).drop("h1", "h2").mapInArrow(place, "id long, key long, spans binary")
     return found.where("h1 IS NULL").select("id", "key", "spans").unionByName(placed)
 
 

@@ -159,7 +159,7 @@ class FMIndex:
 
 def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
     """(id, key, spans) of the words that an earlier window has, from (id, key, text)."""
-    spark, most = docs.sparkSession, anchors.POPULAR
+    spark, most, in_row = docs.sparkSession, anchors.POPULAR, anchors.APART
     power = max(6, min(20, (8 * shuffle_width(spark) - 1).bit_length()))
 
     def windows(data: np.ndarray, offsets: np.ndarray) -> tuple:
@@ -196,7 +196,7 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
 
     def popular(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in stretches(batches):
-            yield x.apart()
+            yield x.apart(in_row)
 
     def search(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
         words, size, place, own = received(got, np.uint64)

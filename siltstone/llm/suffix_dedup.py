@@ -14,7 +14,7 @@ would sort (position, rank, rank at the offset): that needs a row for each windo
 
 Runs of windows with one anchor travel as one stretch of bytes. Equal stretches of a block of text go as one
 with a list of their places, so a passage that a third of all documents share costs its bytes once a block; where the
-list is long only its least place goes with the bytes, and the others join the verdict by the stretch's name.
+list is long only its least place goes with the bytes, and the list joins the verdict by the stretch's name.
 Spans join the texts by doc_id once, at the end.
 
 Cases: null or empty text: 0 bytes, nothing removed, the digest of nothing. Texts under 50 bytes stay. Rows
@@ -111,7 +111,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, key, spans) of the bytes that an earlier document has, from (id, key, text)."""
     if not SEED < length <= 7 * 8:
         raise ValueError(f"strings of {SEED + 1} to 56 bytes, as seven words hold them")
-    spark, piece, most = docs.sparkSession, PIECE, anchors.POPULAR
+    spark, piece, most, in_row = docs.sparkSession, PIECE, anchors.POPULAR, anchors.APART
     power = max(6, min(20, (8 * shuffle_width(spark) - 1).bit_length()))
 
     def seeds(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -149,7 +149,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def popular(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in stretches(batches):
-            yield x.apart()
+            yield x.apart(in_row)
 
     def rank(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
         data, size, place, own = received(got, np.uint8)

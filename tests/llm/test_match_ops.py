@@ -201,6 +201,47 @@ def test_fm_index_dedup_against_brute_force(spark, rng, monkeypatch, popular):
     assert fm_index.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize(("op", "cut"), [(suffix_dedup, 1 << 12), (suffix_dedup, 7), (fm_index, 1 << 12), (fm_index, 7)])
+def test_places_of_a_popular_stretch_share_a_row(spark, rng, monkeypatch, op, cut):
+    """The join with verdicts makes a row for each content and block (or ``cut`` places), not for each place: none more for a larger group of copies."""
+    monkeypatch.setattr(anchors, "APART", cut)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(30))
+    made, real = [], op.all_spans
+
+    def watched(found, hot, by_id):
+        least = found.where("h1 IS NOT NULL")
+        assert least.count() == least.select("h1", "h2").distinct().count() > 0
+        assert hot.join(least, ["h1", "h2"]).count() == hot.count()
+        sizes = [len(r[0]) // 32 for r in hot.select("places").collect()]
+        made.append((len(sizes), sum(sizes)))
+        assert max(sizes) <= cut
+        return real(found, hot, by_id)
+
+    monkeypatch.setattr(op, "all_spans", watched)
+    for copies in (56, 224):
+        rows = [(i, f"{word()} {word()} {passage} {word()}") for i in range(copies)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        if op is suffix_dedup:
+            got = op.suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+            want = bytes_brute(rows)
+        else:
+            got, want = op.substring_dedup(docs).drop("kept"), words_brute(rows)
+        assert sorted([tuple(r) for r in got.collect()], key=repr) == want
+    (few, places), (more, all_places) = made
+    assert all_places >= 3.5 * places
+    assert more == few if cut > 224 else few < more <= 4 * few + 4
+
+
+def test_blocks_without_a_popular_stretch(spark, rng):
+    passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30))
+    rows = [(i, passage) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = suffix_dedup.suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted([tuple(r) for r in got], key=repr) == bytes_brute(rows)
+    assert sorted([tuple(r) for r in fm_index.substring_dedup(docs).drop("kept").collect()], key=repr) == words_brute(rows)
+
+
 def test_backward_search_counts(rng):
     text = np.array([rng.randrange(1, 6) if i % 37 else 0 for i in range(1, 500)] + [0])
     index = fm_index.FMIndex(text, 6)
