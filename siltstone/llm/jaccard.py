@@ -306,10 +306,14 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame, arrays: DataFrame, best: bool = False) -> DataFrame:
-    """Pairs (a, b) of unlike ``comp`` in each tile of ``rows`` (s, rep, n, comp) whose bitmaps don't refute them; ``best``: for each class of a group the one with the greatest bound."""
+    """Pairs (a, b) of unlike ``comp`` in each tile of ``rows`` (s, rep, n, comp) whose bitmaps don't refute them; ``best``: for each class of a group the one with the greatest bound.
+
+    Written step by step: a plan of all steps would start some twenty jobs and broadcasts at once, which the driver's memory holds together.
+    """
     tiles = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("d"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("lo <> hi")
     tiles = stored(tiles.groupBy("x", "y", "d").agg(F.min("s").alias("s")).select("s", "d"), "jaccard-mixed")
-    rows = rows.join(tiles, "s")
+    rows = stored(rows.join(tiles, "s"), "jaccard-rows")
+    dropped(tiles)
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     cell = lambda band, kind, i, j: F.struct(band.alias("band"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     small = rows.where(F.col("d") <= BLOCK).select("s", "rep", "n", "comp", cell(zero, -1, zero, zero).alias("cell"))
@@ -321,12 +325,19 @@ def cross_pairs(rows: DataFrame, arrays: DataFrame, best: bool = False) -> DataF
         large = large.join(sizes, ["s", "band"]).select("s", "rep", "n", "comp", cell(F.col("band"), 0, salt, salt).alias("cell"))
     else:
         # Rows of a tile's largest component meet the others only, so they are copied as often as there are blocks of others.
-        main = large.groupBy("s", "comp").agg(F.count("*").alias("rows")).groupBy("s").agg(F.max(F.struct("rows", "comp")).alias("main"))
-        large = large.join(stored(main.select("s", F.col("main.comp").alias("main")), "jaccard-main"), "s").withColumn("other", (F.col("comp") != F.col("main")).cast("int"))
-        sizes = large.groupBy("s", "band").agg(F.ceil(F.sum("other") / BLOCK).cast("long").alias("k"), F.ceil(F.sum(1 - F.col("other")) / BLOCK).cast("long").alias("m"))
+        by_comp = stored(large.groupBy("s", "band", "comp").agg(F.count("*").alias("rows")), "jaccard-main")
+        main = by_comp.groupBy("s", "comp").agg(F.sum("rows").alias("rows")).groupBy("s").agg(F.max(F.struct("rows", "comp")).alias("main"))
+        other = F.when(F.col("comp") != F.col("main"), F.col("rows")).otherwise(0)
+        sizes = by_comp.join(main.select("s", F.col("main.comp").alias("main")), "s").groupBy("s", "band", "main").agg(F.ceil(F.sum(other) / BLOCK).cast("long").alias("k"), F.ceil(F.sum(F.col("rows") - other) / BLOCK).cast("long").alias("m"))
+        # Each band with the blocks of the next one (up) and the one before (down).
+        near = F.explode(F.array(*[F.struct((F.col("band") + d).alias("band"), F.lit(d).alias("d")) for d in (0, -1, 1)])).alias("at")
+        of = lambda d, x: F.max(F.when(F.col("at.d") == d, F.col(x)))
+        sizes = sizes.select("s", near, "main", "k", "m").groupBy("s", F.col("at.band").alias("band")).agg(
+            F.max("main").alias("main"), *[of(d, x).alias(x + to) for d, to in ((0, ""), (-1, "_up"), (1, "_down")) for x in ("k", "m")]
+        )
         sizes = stored(sizes, "jaccard-sizes")
-        of = lambda d, k, m: sizes.select("s", (F.col("band") + d).alias("band"), F.col("k").alias(k), F.col("m").alias(m))
-        large = large.join(of(0, "k", "m"), ["s", "band"]).join(of(-1, "k_up", "m_up"), ["s", "band"], "left").join(of(1, "k_down", "m_down"), ["s", "band"], "left")
+        dropped(by_comp)
+        large = large.join(sizes, ["s", "band"]).withColumn("other", (F.col("comp") != F.col("main")).cast("int"))
         large = large.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), F.when(F.col("other") == 1, F.col("k")).otherwise(F.col("m"))))
         each = lambda k, f: F.transform(F.when(F.coalesce(F.col(k), zero) > 0, F.sequence(zero, F.col(k) - 1)).otherwise(F.array().cast("array<long>")), f)
         # Kinds of groups: others (0), others with main ones (1); others with the next band's others (2), its main ones (3); main ones with the next band's others (4).
@@ -338,7 +349,9 @@ def cross_pairs(rows: DataFrame, arrays: DataFrame, best: bool = False) -> DataF
         )
         mains = F.concat(each("k", lambda j: cell(at, 1, j, salt)), each("k_up", lambda j: cell(at, 4, salt, j)), each("k_down", lambda j: cell(under, 3, j, salt)))
         large = large.select("s", "rep", "n", "comp", F.explode(F.when(F.col("other") == 1, others).otherwise(mains)).alias("cell"))
-    placed = small.unionByName(large).join(arrays.select("rep", "bits"), "rep")
+    cells = stored(small.unionByName(large), "jaccard-cells")
+    dropped(rows, sizes)
+    placed = cells.join(arrays.select("rep", "bits"), "rep")
 
     def compare(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
         n = got["n"].to_numpy()
@@ -367,7 +380,9 @@ def cross_pairs(rows: DataFrame, arrays: DataFrame, best: bool = False) -> DataF
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return placed.groupBy("s", "cell").applyInArrow(compare, "a long, b long").distinct()
+    out = stored(placed.groupBy("s", "cell").applyInArrow(compare, "a long, b long").distinct(), "jaccard-pairs")
+    dropped(cells)
+    return out
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -440,18 +455,22 @@ def connected(pairs: DataFrame, comp: DataFrame | None, whole: DataFrame) -> tup
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each of ``docs``."""
     sets, classes, tiles, whole = _prepared(docs, id_col, text_col)
-    held = tiles
     named = lambda c, as_: whole.select(F.col("c").alias(c), F.col("rep").alias(as_))
     pairs = chain(tiles).withColumnsRenamed({"a": "c_a", "b": "c_b"}).join(named("c_a", "a"), "c_a").join(named("c_b", "b"), "c_b").select("a", "b")
     near = stored(unrefuted(pairs, whole), "jaccard-near")
     comp, _ = connected(near, None, whole)
-    tiles = tiles.join(whole.select("c", "rep"), "c")
-    rows = lambda: tiles.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    held = stored(tiles.join(whole.select("c", "rep"), "c").select("s", "rep", "n"), "jaccard-held")
+    dropped(tiles)
+    rows = lambda: held.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     # One partner for each class first, so that groups of many near copies are one component before all pairs across are asked for.
-    likely = stored(unrefuted(cross_pairs(rows(), whole, best=True), whole), "jaccard-likely")
+    found = cross_pairs(rows(), whole, best=True)
+    likely = stored(unrefuted(found, whole), "jaccard-likely")
+    dropped(found)
     comp = joined(stored(verified(likely.unionByName(apart(near, comp)).distinct(), whole), "jaccard-links"), comp)
     dropped(near, likely)
-    cross = stored(unrefuted(cross_pairs(rows(), whole), whole), "jaccard-cross")
+    found = cross_pairs(rows(), whole)
+    cross = stored(unrefuted(found, whole), "jaccard-cross")
+    dropped(found)
     # Each class with its least partner first: most of what is left then lies inside a component.
     comp, tried = connected(cross, comp, whole)
     rest = stored(apart(cross, comp).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")

@@ -128,6 +128,22 @@ def test_jaccard_against_brute_force(spark, rng, monkeypatch, marked, block):
     assert kept == {i for i in root if root[i] == i} | {None}
 
 
+def test_jaccard_starts_few_jobs_at_once(spark, rng, monkeypatch):
+    """Each job and broadcast of an execution that starts takes memory of the driver, all together."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    words = [f"w{i}" for i in range(200)]
+    base = [rng.choice(words) for _ in range(40)]
+    rows = [(i, " ".join([*base[: rng.randrange(15, 40)], *(rng.choice(words) for _ in range(rng.randrange(12)))])) for i in range(60)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    groups = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList(before, 1000)
+    jobs = [ran.apply(i).jobs().size() for i in range(ran.size())]
+    assert len(groups) == 60 and len({r["component_id"] for r in groups}) < 60
+    assert len(jobs) > 20 and max(jobs) <= 9, jobs
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
